@@ -15,23 +15,65 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Entries of a worker's chunk and fragment tables before they start anew.
-TABLE_LIMIT = 250_000
+#: Entries of each of the two generations of a worker's tables.
+TABLE_LIMIT = 500_000
 #: Chunks longer than this are encoded but not kept.
 KEEP_LENGTH = 64
 ASCII_SPACE = " \t\n\r\x0b\x0c"
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
 
+#: Letters, digits and signs on which the pre-tokenizer's pattern means the same in all its engines.
+FAMILIAR = re.compile("[\t\n\r -~\xa1-\u024f]+")
+PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
+class Table:
+    """A bounded table in two generations: what is looked up lately outlives what is not."""
+
+    def __init__(self, limit: int = TABLE_LIMIT) -> None:
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def older(self, name: str) -> bytes | None:
+        """What the old generation has; it moves to the young one."""
+        value = self.old.get(name)
+        if value is not None:
+            self.put(name, value)
+        return value
+
+    def put(self, name: str, value: bytes) -> None:
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        self.young[name] = value
+
+    def join(self, parts: list[str], make: Callable[[str], bytes], longest: int) -> bytes:
+        """The values of all parts in a row; ``make`` gives those that are not there."""
+        get = self.young.get
+        found = list(map(get, parts))
+        if None in found:
+            for n in [n for n, value in enumerate(found) if value is None]:
+                part = parts[n]
+                value = self.young.get(part)
+                if value is None:
+                    value = self.older(part)
+                    if value is None:
+                        value = make(part)
+                        if len(part) <= longest:
+                            self.put(part, value)
+                found[n] = value
+        return b"".join(found)
+
+
 def byte_alphabet() -> dict[int, str]:
     """The printable stand-in of every byte in byte-level vocabularies."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -64,55 +106,51 @@ class ForcedBoundaryBpe:
         #: inside[a, b]: some token holds byte b right after byte a.
         self.inside = inside
         self.joined = {(self.stand_in[a], self.stand_in[b]) for a, b in zip(*np.nonzero(inside), strict=True)}
-        spaces = [ord(c) for c in ASCII_SPACE]
-        solid = [b for b in range(256) if b not in spaces]
-        certain = all(not inside[solid, s].any() for s in spaces)
         space = re.escape(ASCII_SPACE)
-        self.chunk = re.compile(f"[{space}]*[^{space}]+|[{space}]+") if certain else None
+        self.chunk = re.compile(f"[{space}]*[^{space}]+|[{space}]+")
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.added = added
-        self.chunks: dict[str, bytes] = {}
-        self.fragments: dict[str, bytes] = {}
+        self.shown = {b: c for b, c in self.stand_in.items() if chr(b) != c}
+        self.space = self.stand_in[32]
+        self.chunks, self.fragments = Table(), Table()
 
     def cut(self, piece: str) -> list[str]:
         """A pre-token (in stand-in letters), split at every certain boundary."""
-        ends = [i for i in range(1, len(piece)) if (piece[i - 1], piece[i]) not in self.joined]
+        if self.joined.issuperset(zip(piece, piece[1:], strict=False)):
+            return [piece]
+        ends = [i for i, pair in enumerate(zip(piece, piece[1:], strict=False), 1) if pair not in self.joined]
         return [piece[a:b] for a, b in zip([0, *ends], [*ends, len(piece)], strict=True)]
 
-    def _fragment(self, piece: str) -> bytes:
-        ids = self.fragments.get(piece)
-        if ids is None:
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(piece)], dtype="<u4").tobytes()
-            if len(piece) <= KEEP_LENGTH:
-                if len(self.fragments) >= TABLE_LIMIT:
-                    self.fragments.clear()
-                self.fragments[piece] = ids
-        return ids
+    def _model(self, fragment: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(fragment)])
+
+    def _show(self, piece: str) -> str:
+        """The piece's bytes in stand-in letters."""
+        if piece.isascii():
+            return self.space + piece[1:] if piece[0] == " " and piece[1:].isprintable() and " " not in piece[1:] else piece.translate(self.shown)
+        return piece.encode().decode("latin-1").translate(self.shown)
 
     def _chunk(self, chunk: str) -> bytes:
-        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk)
-        return b"".join(self._fragment(x) for piece, _ in pieces for x in self.cut(piece))
+        if FAMILIAR.fullmatch(chunk):
+            pieces = map(self._show, PATTERN.findall(chunk))
+        else:
+            pieces = [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk)]
+        out, known = [], self.fragments
+        for piece in pieces:
+            ids = known.young.get(piece)
+            if ids is None:
+                ids = known.older(piece) or b"".join([self._model(f) for f in self.cut(piece)])
+                if len(piece) <= KEEP_LENGTH:
+                    known.put(piece, ids)
+            out.append(ids)
+        return b"".join(out)
 
     def _plain(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.chunk is None or OTHER_SPACE.search(text):
+        if OTHER_SPACE.search(text):
             return self._chunk(text)
-        known, parts = self.chunks, self.chunk.findall(text)
-        found = list(map(known.get, parts))
-        if None in found:
-            for n, ids in enumerate(found):
-                if ids is None:
-                    part = parts[n]
-                    ids = known.get(part)
-                    if ids is None:
-                        ids = self._chunk(part)
-                        if len(part) <= KEEP_LENGTH:
-                            if len(known) >= TABLE_LIMIT:
-                                known.clear()
-                            known[part] = ids
-                    found[n] = ids
-        return b"".join(found)
+        return self.chunks.join(self.chunk.findall(text), self._chunk, KEEP_LENGTH)
 
     def encode_packed(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""

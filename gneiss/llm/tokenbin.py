@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from gneiss.llm.bpe import Table, byte_alphabet
 from gneiss.llm.storage import scratch_path
 
-TABLE_LIMIT = 250_000
+#: Chunks longer than this are encoded but not kept.
 KEEP_LENGTH = 64
 #: A block is closed once it holds this many ids.
 BLOCK_IDS = 1 << 16
@@ -88,28 +89,19 @@ class ChunkEncoder:
         self.split &= not any(t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in spec["added_tokens"])
         self.marks = [t["content"] for t in spec["added_tokens"]]
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        from gneiss.llm.bpe import byte_alphabet
-
-        self.stand_in = byte_alphabet()
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.shown = {b: c for b, c in byte_alphabet().items() if chr(b) != c}
+        self.chunks, self.pieces = Table(), Table()
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            shown = "".join(map(self.stand_in.__getitem__, piece.encode()))
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], dtype="<u4").tobytes()
-            if len(self.pieces) >= TABLE_LIMIT:
-                self.pieces.clear()
-            self.pieces[piece] = ids
-        return ids
+    def _model(self, piece: str) -> bytes:
+        shown = piece.encode().decode("latin-1").translate(self.shown)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(shown)])
 
     def _chunk(self, chunk: str) -> bytes:
         if len(chunk) <= KEEP_LENGTH and self.PLAIN.fullmatch(chunk) and not any(m in chunk for m in self.marks):
-            return b"".join(map(self._piece, self.PIECES.findall(chunk.lower())))
+            return self.pieces.join(self.PIECES.findall(chunk.lower()), self._model, KEEP_LENGTH)
         return self._library(chunk)
 
     def encode_packed(self, text: str | None) -> bytes:
@@ -117,22 +109,7 @@ class ChunkEncoder:
             return b""
         if not self.split:
             return self._library(text)
-        parts = [x for x in self.SPACE.split(text) if x]
-        known = self.chunks
-        found = list(map(known.get, parts))
-        if None in found:
-            for n, ids in enumerate(found):
-                if ids is None:
-                    part = parts[n]
-                    ids = known.get(part)
-                    if ids is None:
-                        ids = self._chunk(part)
-                        if len(part) <= KEEP_LENGTH:
-                            if len(known) >= TABLE_LIMIT:
-                                known.clear()
-                            known[part] = ids
-                    found[n] = ids
-        return b"".join(found)
+        return self.chunks.join([x for x in self.SPACE.split(text) if x], self._chunk, KEEP_LENGTH)
 
 
 @lru_cache(maxsize=4)
