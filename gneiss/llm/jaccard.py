@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.llm import bitfilter
 from gneiss.llm import textvec as tv
 from gneiss.llm.components import connected
 from gneiss.llm.storage import discard, materialize
@@ -44,8 +45,6 @@ SHORT_LIST = 64
 #: Tokens that a task holds before it sends its runs.
 HELD_TOKENS = 4_000_000
 COUNT_BITS = 40
-#: Bits of the filter that tells tasks which documents to send for verification.
-FILTER_BITS = 1 << 26
 _U = np.uint64
 
 
@@ -273,57 +272,17 @@ def _lists(n: int, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[k].cast(t) if k in columns else pa.nulls(n, t) for k, t in kinds.items()], list(kinds))
 
 
-def _mark(values: np.ndarray) -> np.ndarray:
-    return (tv.mix(values.astype(np.int64).view(np.uint64)) % _U(FILTER_BITS)).astype(np.int64)
-
-
-def _wanted(ids: DataFrame) -> bytes:
-    """A bit filter of fixed size over the ids in column ``id``."""
-    bits = ids.sparkSession.sparkContext and ids.select(F.col("id").cast("long"))
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(FILTER_BITS, dtype=bool)
-        some = False
-        for batch in batches:
-            values = batch.column(0).drop_null().to_numpy()
-            table[_mark(values)] = True
-            some |= len(values) > 0
-        if some:
-            packed = zlib.compress(np.packbits(table).tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], ["bits"])
-
-    total = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for row in bits.coalesce(8).mapInArrow(fold, "bits binary").toLocalIterator():
-        total |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
-    return zlib.compress(total.tobytes(), 1)
-
-
-def _chosen(docs: DataFrame, filter_: bytes) -> DataFrame:
-    """The rows whose id may be among the wanted ones, or is null."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(np.frombuffer(zlib.decompress(filter_), np.uint8)).astype(bool)
-        for batch in batches:
-            ids = batch.column(0)
-            hit = table[_mark(ids.fill_null(0).to_numpy(zero_copy_only=False))] | ids.is_null().to_numpy(zero_copy_only=False)
-            out = batch.filter(pa.array(hit))
-            if out.num_rows:
-                yield out
-
-    return docs.mapInArrow(run, docs.schema)
-
-
 def fetch_sets(docs: DataFrame, reps: DataFrame, keys: DataFrame, width: int) -> DataFrame:
     """(key, tokens) for the sets in ``keys``; only documents that stand for one are hashed again."""
     wanted = reps.join(keys, "key", "left_semi")
-    filter_ = _wanted(wanted.select(F.col("doc_id").alias("id")))
+    filter_ = bitfilter.build(wanted.select("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [t for _, t in _sets(batch, width)]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(t) for t in sets], pa.binary()), pa.array([t.tobytes() for t in sets], pa.binary())], ["key", "tokens"])
 
-    found = _chosen(docs, filter_).mapInArrow(run, "key binary, tokens binary")
+    found = bitfilter.split(docs, "doc_id", filter_, True).mapInArrow(run, "key binary, tokens binary")
     return found.join(keys, "key", "left_semi").dropDuplicates(["key"])
 
 
@@ -348,7 +307,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def combine(docs: DataFrame, reps: DataFrame, hard: DataFrame, k: int, width: int, percent: int, order: Order) -> DataFrame:
     """For each set of a hard list: the list joined with each other token of the set's k-prefix."""
     keys = hard.select("key").distinct()
-    filter_ = _wanted(reps.join(keys, "key", "left_semi").select(F.col("doc_id").alias("id")))
+    filter_ = bitfilter.build(reps.join(keys, "key", "left_semi").select("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,7 +315,7 @@ def combine(docs: DataFrame, reps: DataFrame, hard: DataFrame, k: int, width: in
             out = [order.prefix(t, k, percent).tobytes() for t in sets]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(t) for t in sets], pa.binary()), pa.array(out, pa.binary())], ["key", "prefix"])
 
-    prefixes = _chosen(docs, filter_).mapInArrow(run, "key binary, prefix binary").dropDuplicates(["key"])
+    prefixes = bitfilter.split(docs, "doc_id", filter_, True).mapInArrow(run, "key binary, prefix binary").dropDuplicates(["key"])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -436,8 +395,15 @@ def _across(short: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of each component stays: the one with the smallest id; texts without words all stay."""
-    found = components(docs, key, text, **options)
-    stay = found.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id"), "n_shingles")
-    kept = docs.join(stay.select("_id").distinct(), F.col(key).eqNullSafe(F.col("_id")), "left_semi")
-    return kept
+    """One row of each component stays: one with the smallest id. Texts without words all stay.
+
+    Only rows that may be among those to go, by a bit table, are joined with them; the rest pass by.
+    """
+    found = materialize(components(docs, key, text, **options), "jaccard-found")
+    gone = found.where("component_id is not null and doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct()
+    filter_ = bitfilter.build(gone)
+    keyed = docs.withColumn("_gneiss_id", F.col(key).cast("long"))
+    maybe = bitfilter.split(keyed, "_gneiss_id", filter_, True).join(gone, F.col("_gneiss_id") == F.col("_id"), "left_anti")
+    kept = maybe.unionByName(bitfilter.split(keyed, "_gneiss_id", filter_, False)).drop("_gneiss_id")
+    again = found.where("n_shingles > 0").groupBy("component_id", "doc_id").count().where("count > 1")
+    return kept if again.isEmpty() else kept.dropDuplicates([key])
