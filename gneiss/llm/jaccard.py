@@ -2,8 +2,9 @@
 
 Two sets with similarity t or more share a token among the first n - ceil(t * n) + 1 tokens of
 each, in any order of tokens that all documents agree on; and they share k tokens among the first
-n - ceil(t * n) + k. Here rare tokens come first, by hash, and frequent ones last, by count, so
-prefixes hold frequent tokens only where there is little else.
+n - ceil(t * n) + k. Here tokens of a single set come first, as far as a bit table of fixed size can
+tell, then others by hash, and frequent ones last, by count. The first kind links nothing and is
+never sent; the last stands in prefixes only where there is little else.
 
 1. Count every token of every document: tasks exchange sorted runs of hashes by ranges.
 2. Exchange prefixes the same way. A list holds the distinct sets with one token; each links all
@@ -43,8 +44,10 @@ FREQUENT_KEPT = 1 << 20
 #: Lists up to this length are compared pair by pair across components; longer ones by longer combinations.
 SHORT_LIST = 64
 #: Tokens that a task holds before it sends its runs.
-HELD_TOKENS = 4_000_000
+HELD_TOKENS = 2_000_000
 COUNT_BITS = 40
+#: Bits of the table of tokens that more than one set has.
+SHARED_BITS = 27
 _U = np.uint64
 
 
@@ -70,17 +73,31 @@ def _ranges(tokens: np.ndarray, parts: int) -> np.ndarray:
 
 
 class Order:
-    """Puts the tokens of a set in the common order: rare ones by hash, then frequent ones by count."""
+    """The common order of tokens: of one set only, of a few sets by hash, of many sets by count."""
 
-    def __init__(self, frequent: np.ndarray, counts: np.ndarray) -> None:
+    def __init__(self, shared: bytes, frequent: np.ndarray, counts: np.ndarray) -> None:
         order = np.argsort(frequent)
-        self.frequent, self.counts = frequent[order], counts[order]
+        self.shared, self.frequent, self.counts = shared, frequent[order], counts[order]
+        self.table: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}
+
+    def is_shared(self, tokens: np.ndarray) -> np.ndarray:
+        """False for tokens that surely no second set has."""
+        if self.table is None:
+            self.table = np.frombuffer(zlib.decompress(self.shared), np.uint8)
+        at = (tokens >> _U(64 - SHARED_BITS)).astype(np.int64)
+        return (self.table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
     def prefix(self, tokens: np.ndarray, extra: int, percent: int) -> np.ndarray:
+        """The tokens of the prefix that other sets may have, in order."""
         n = len(tokens)
         take = min(n, n - required(n, percent) + extra)
-        if not len(self.frequent):
-            return tokens[:take]
+        tokens = tokens[self.is_shared(tokens)]
+        take -= n - len(tokens)
+        if take <= 0 or not len(self.frequent):
+            return tokens[: max(take, 0)]
         short = tokens >> _U(64 - COUNT_BITS)
         at = np.minimum(np.searchsorted(self.frequent, short), len(self.frequent) - 1)
         often = self.frequent[at] == short
@@ -96,7 +113,7 @@ def _by_range(df: DataFrame, parts: int) -> DataFrame:
     return df.repartitionById(parts, F.col("range"))
 
 
-PASS_ONE = "range int, doc_id long, n int, key binary, blob binary, token long, count long"
+PASS_ONE = "range int, doc_id long, n int, key binary, blob binary, token long, count long, bits binary"
 
 
 def _row(names: str, rows: int, /, **columns: pa.Array) -> pa.RecordBatch:
@@ -106,7 +123,7 @@ def _row(names: str, rows: int, /, **columns: pa.Array) -> pa.RecordBatch:
 
 
 def count_tokens(docs: DataFrame, parts: int, width: int) -> DataFrame:
-    """Rows of the documents (doc_id, n, key) and of the frequent tokens (token, count)."""
+    """Rows of the documents (doc_id, n, key), of the frequent tokens (token, count), and bits of the shared ones."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
@@ -160,6 +177,9 @@ def count_tokens(docs: DataFrame, parts: int, width: int) -> DataFrame:
             often = counts >= FREQUENT
             token, count = tokens[edges[:-1]][often], counts[often]
             yield _row(PASS_ONE, len(token), token=pa.array(token.astype(np.int64)), count=pa.array(count.astype(np.int64)))
+            places = tokens[edges[:-1]][counts > 1] >> _U(COUNT_BITS - SHARED_BITS)
+            steps = np.diff(np.unique(places), prepend=_U(0)).astype("<u4")
+            yield _row(PASS_ONE, 1, bits=pa.array([zlib.compress(steps.tobytes(), 1)], pa.binary()))
 
     return _by_range(docs.mapInArrow(send, PASS_ONE), parts).mapInArrow(gather, PASS_ONE)
 
@@ -205,7 +225,10 @@ def index_prefixes(docs: DataFrame, parts: int, width: int, percent: int, order:
                 if len(own) < 3 or key in seen:  # different sets of fewer tokens cannot be similar enough
                     continue
                 seen.add(key)
-                tokens.append(order.prefix(own, 1, percent))
+                prefix = order.prefix(own, 1, percent)
+                if not len(prefix):
+                    continue
+                tokens.append(prefix)
                 keys.append(key)
                 sizes.append(len(own))
                 size += len(tokens[-1])
@@ -341,7 +364,10 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     first = materialize(count_tokens(rows, parts, width), "jaccard-sets")
     members = first.where("key is not null").select("doc_id", "n", "key")
     frequent = first.where("token is not null").select("token", "count").orderBy(F.desc("count"), "token").limit(FREQUENT_KEPT).toPandas()
-    order = Order(frequent["token"].to_numpy(np.int64).view(np.uint64), frequent["count"].to_numpy(np.int64))
+    table = np.zeros(1 << SHARED_BITS, dtype=bool)
+    for row in first.where("bits is not null").select("bits").toLocalIterator():
+        table[np.cumsum(np.frombuffer(zlib.decompress(row["bits"]), "<u4"), dtype=np.int64)] = True
+    order = Order(zlib.compress(np.packbits(table).tobytes(), 1), frequent["token"].to_numpy(np.int64).view(np.uint64), frequent["count"].to_numpy(np.int64))
     reps = members.where("n > 2").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
 
     indexed = materialize(index_prefixes(rows, parts, width, percent, order), "jaccard-lists")
