@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,3 +59,73 @@ def split(rows: DataFrame, column: str, packed: bytes, held: bool) -> DataFrame:
                 yield out
 
     return rows.mapInArrow(run, rows.schema)
+
+
+def repeated(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], parts: int, bits: int, held_limit: int = 4_000_000) -> bytes:
+    """A table of 2 ** bits bits, by the first bits, of the 64-bit values that occur at least twice in all rows.
+
+    Tasks exchange sorted runs by ranges of the value; a task's own repeats are merged before that.
+    """
+    shift = np.uint64(64 - bits)
+
+    def ranges(values: np.ndarray) -> np.ndarray:
+        return ((values >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def runs() -> pa.RecordBatch:
+            values = np.sort(np.concatenate(held))
+            heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+            twice = (np.diff(np.append(heads, len(values))) > 1).astype(np.uint8)
+            values = values[heads]
+            bounds = np.searchsorted(ranges(values), np.arange(parts + 1))
+            blobs = [values[a:b].tobytes() + twice[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(parts), pa.int32()), pa.array(blobs, pa.binary())], ["range", "blob"])
+
+        for batch in batches:
+            for own in hashes(batch):
+                held.append(own)
+                size += len(own)
+                if size >= held_limit:
+                    yield runs()
+                    held, size = [], 0
+        if size:
+            yield runs()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, twice = [], []
+        for batch in batches:
+            for blob in batch.column("blob"):
+                raw = blob.as_py()
+                m = len(raw) // 9
+                values.append(np.frombuffer(raw, "<u8", m))
+                twice.append(np.frombuffer(raw, np.uint8, m, 8 * m))
+        if not values:
+            return
+        v, t = np.concatenate(values), np.concatenate(twice)
+        order = np.argsort(v)
+        v, t = v[order], t[order]
+        same = v[1:] == v[:-1]
+        often = t > 0
+        often[1:] |= same
+        often[:-1] |= same
+        places = np.unique((v[often] >> shift).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.diff(places, prepend=0).astype("<u4").tobytes(), 1)], pa.binary())], ["bits"])
+
+    sent = rows.mapInArrow(send, "range int, blob binary")
+    table = np.zeros(1 << bits, dtype=bool)
+    for row in sent.repartitionById(parts, F.col("range")).mapInArrow(gather, "bits binary").toLocalIterator():
+        table[np.cumsum(np.frombuffer(zlib.decompress(row["bits"]), "<u4"), dtype=np.int64)] = True
+    return zlib.compress(np.packbits(table).tobytes(), 1)
+
+
+class RepeatTable:
+    """Tells values that may occur twice; built by ``repeated``."""
+
+    def __init__(self, packed: bytes, bits: int) -> None:
+        self.table, self.shift = np.frombuffer(zlib.decompress(packed), np.uint8), np.uint64(64 - bits)
+
+    def may_repeat(self, values: np.ndarray) -> np.ndarray:
+        at = (values >> self.shift).astype(np.int64)
+        return (self.table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import bpe, decontam, jaccard, linededup, quality, sharding, suffix, tokenbin, toxicity
+from gneiss.llm import bpe, decontam, jaccard, linededup, paradedup, quality, sharding, suffix, tokenbin, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.report(table(spark, sf_dir, "documents"))
 
 
+def op7_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paradedup.passages(table(spark, sf_dir, "documents"))
+
+
 def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
 
@@ -55,7 +59,7 @@ def op10_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_bpe_roundtrip, op2_fuzzy_line_dedup, op3_line_field_quality, op4_winnowing_decontamination, op5_ngram_jaccard,
-        op6_suffix_array_dedup, op8_histogram_shards, op9_token_blocks, op10_counterfactual_toxicity,
+        op6_suffix_array_dedup, op7_paragraph_minhash, op8_histogram_shards, op9_token_blocks, op10_counterfactual_toxicity,
     )
     return {f.__name__: f for f in found}
 

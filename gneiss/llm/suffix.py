@@ -17,7 +17,6 @@ repeated rows and copies are each other's repeats, so all their bytes go.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,6 @@ LENGTH = 200
 K = 50
 #: Longer texts are worked on in pieces of this many windows.
 PIECE = 1 << 21
-HELD = 4_000_000
 ANCHOR_BITS = 27
 #: Bytes of contexts that are sorted at a time (a larger group of one anchor is sorted whole).
 SORT_BYTES = 1_500_000
@@ -171,54 +169,10 @@ def _ranges(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> _U(32)) * _U(parts) >> _U(32)).astype(np.int32)
 
 
-def count_anchors(docs: DataFrame, parts: int) -> bytes:
-    """A bit table (by the first bits of the hash) of the anchors that occur at least twice."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def runs() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            bounds = np.searchsorted(_ranges(values, parts), np.arange(parts + 1))
-            blobs = [values[a:b].tobytes() + (counts[a:b] > 1).astype(np.uint8).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(parts), pa.int32()), pa.array(blobs, pa.binary())], ["range", "blob"])
-
-        for batch in batches:
-            for part in tv.slices(batch.column(0)):
-                for _, piece, _ in _pieces(part):
-                    held.append(anchors(piece.data, piece.offsets)[1])
-                    size += len(held[-1])
-            if size >= HELD:
-                yield runs()
-                held, size = [], 0
-        if size:
-            yield runs()
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, twice = [], []
-        for batch in batches:
-            for blob in batch.column("blob"):
-                raw = blob.as_py()
-                m = len(raw) // 9
-                values.append(np.frombuffer(raw, "<u8", m))
-                twice.append(np.frombuffer(raw, np.uint8, m, 8 * m))
-        if not values:
-            return
-        v, t = np.concatenate(values), np.concatenate(twice)
-        order = np.argsort(v)
-        v, t = v[order], t[order]
-        same = v[1:] == v[:-1]
-        often = t > 0
-        often[1:] |= same
-        often[:-1] |= same
-        places = np.unique((v[often] >> _U(64 - ANCHOR_BITS)).astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.diff(places, prepend=0).astype("<u4").tobytes(), 1)], pa.binary())], ["bits"])
-
-    sent = docs.select("text").mapInArrow(send, "range int, blob binary")
-    table = np.zeros(1 << ANCHOR_BITS, dtype=bool)
-    for row in sent.repartitionById(parts, F.col("range")).mapInArrow(gather, "bits binary").toLocalIterator():
-        table[np.cumsum(np.frombuffer(zlib.decompress(row["bits"]), "<u4"), dtype=np.int64)] = True
-    return zlib.compress(np.packbits(table).tobytes(), 1)
+def _anchor_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for part in tv.slices(batch.column(0)):
+        for _, piece, _ in _pieces(part):
+            yield anchors(piece.data, piece.offsets)[1]
 
 
 FOUND = "range int, key binary, at long, context binary, anchor long, twice boolean, body binary"
@@ -228,7 +182,7 @@ def find_contexts(docs: DataFrame, parts: int, table: bytes) -> DataFrame:
     """Places (key, at, context) of contexts of repeated anchors, and each task's distinct contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(zlib.decompress(table), np.uint8)).astype(bool)
+        bits = bitfilter.RepeatTable(table, ANCHOR_BITS)
         bodies: dict[bytes, list] = {}
         known: set[bytes] = set()
         size = 0
@@ -254,7 +208,7 @@ def find_contexts(docs: DataFrame, parts: int, table: bytes) -> DataFrame:
                 own = [hashlib.blake2b(part.data[a:b].tobytes(), digest_size=16).digest() for a, b in zip(part.offsets[:-1], part.offsets[1:], strict=True)]
                 for shift, piece, ahead in _pieces(part):
                     row, h, first, last = anchors(piece.data, piece.offsets)
-                    hit = np.flatnonzero(bits[(h >> _U(64 - ANCHOR_BITS)).astype(np.int64)])
+                    hit = np.flatnonzero(bits.may_repeat(h))
                     raw = piece.data.tobytes()
                     for r, v, a, b in zip(row[hit].tolist(), h[hit].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
                         body = raw[a : b + LENGTH]
@@ -340,7 +294,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(text).cast("string").alias("text"))
-    found = materialize(find_contexts(rows, parts, count_anchors(rows, parts)), "suffix-contexts")
+    found = materialize(find_contexts(rows, parts, bitfilter.repeated(rows, _anchor_hashes, parts, ANCHOR_BITS)), "suffix-contexts")
     marks = mark_repeats(found, parts)
     places = found.where("key is not null").select("key", "at", "context").distinct()
     pieces = places.join(marks, "context").select("key", F.transform("spans", lambda x: x + F.col("at")).alias("spans"))
