@@ -186,6 +186,12 @@ def _texts(column: pa.Array) -> Iterator[str | None]:
         yield value.as_py()
 
 
+def _id_lists(packed: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
+    values = np.frombuffer(b"".join(packed), dtype="<i4")
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
     """``docs`` with the token ids of ``text`` in a new array column ``into``."""
     if into in docs.columns:
@@ -196,10 +202,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") ->
         model = codec(path)
         for batch in batches:
             packed = [model.encode_packed(t) for t in _texts(batch.column(text))]
-            ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
-            values = np.frombuffer(b"".join(packed), dtype="<i4")
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _id_lists(packed)], [*batch.schema.names, into])
 
     return docs.mapInArrow(run, schema)
 
@@ -219,23 +222,23 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", into: str = "decoded"
     return tokens.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: the key, the number of ids and the digests of the ids and of their decoded text."""
-    schema = docs.select(key).schema.simpleString()[len("struct<"):-1].replace(":", " ")
-    schema += ", n_tokens long, ids_sha256 string, decoded_sha256 string"
+def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Per row: the key, the number of ids, the digests of the ids and of their decoded text, and the ids if asked for."""
+    schema = docs.select(key).schema.simpleString()[len("struct<") : -1].replace(":", " ")
+    schema += ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = codec(path)
         for batch in batches:
-            n, ids, back = [], [], []
-            for t in _texts(batch.column(1)):
-                packed = model.encode_packed(t)
-                n.append(len(packed) // 4)
-                ids.append(hashlib.sha256(packed).hexdigest())
-                back.append(hashlib.sha256(model.decode_bytes(packed)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
-                [key, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            packed = [model.encode_packed(t) for t in _texts(batch.column(1))]
+            columns = [
+                batch.column(0), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
+                pa.array([hashlib.sha256(model.decode_bytes(p)).hexdigest() for p in packed], pa.string()),
+            ]
+            names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns.append(_id_lists(packed))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(key, text).mapInArrow(run, schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,7 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_bpe_roundtrip, op2_fuzzy_line_dedup, op3_line_field_quality, op4_winnowing_decontamination, op5_ngram_jaccard,
         op6_suffix_array_dedup, op7_paragraph_minhash, op8_histogram_shards, op9_token_blocks, op10_counterfactual_toxicity,
     )
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
