@@ -44,7 +44,7 @@ FREQUENT_KEPT = 1 << 20
 #: Lists up to this length are compared pair by pair across components; longer ones by longer combinations.
 SHORT_LIST = 64
 #: Tokens that a task holds before it sends its runs.
-HELD_TOKENS = 2_000_000
+HELD_TOKENS = 1_000_000
 COUNT_BITS = 40
 #: Bits of the table of tokens that more than one set has.
 SHARED_BITS = 27

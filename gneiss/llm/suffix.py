@@ -31,8 +31,10 @@ from gneiss.llm.storage import materialize
 LENGTH = 200
 K = 50
 #: Longer texts are worked on in pieces of this many windows.
-PIECE = 1 << 21
+PIECE = 1 << 20
 ANCHOR_BITS = 27
+#: Bytes of contexts that a task holds before it sends them.
+HELD_BYTES = 16 << 20
 #: Bytes of contexts that are sorted at a time (a larger group of one anchor is sorted whole).
 SORT_BYTES = 1_500_000
 _U = np.uint64
@@ -133,7 +135,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
     n = len(data)
     if n < length:
         return none, np.empty(0, np.uint64), none, none
-    h = tv.hash_spans(data, np.arange(n - k + 1), np.arange(k, n + 1))
+    h = tv.hash_windows(data, k)
     span, low = length - k + 1, _U(24)
     least = (h >> low << low) | (_U((1 << 24) - 1) - np.arange(len(h), dtype=np.uint64) % _U(1 << 24))
     width = 1
@@ -226,7 +228,7 @@ def find_contexts(docs: DataFrame, parts: int, table: bytes) -> DataFrame:
                 known.update(own)
                 if keys:
                     yield places(keys, ats, names)
-                if size > 64 << 20:
+                if size > HELD_BYTES:
                     yield from contexts()
                     bodies.clear()
                     size = 0

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at a time (a longer single text is taken whole).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 
@@ -122,6 +122,20 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(h + (ends - starts).astype(np.uint64) * _ODD)
 
 
+def hash_windows(data: np.ndarray, width: int) -> np.ndarray:
+    """The hashes that ``hash_spans`` gives to every run of ``width`` bytes."""
+    n = len(data)
+    if len(_cache["up"]) < n + 1:
+        _cache["up"], _cache["down"] = _powers(_BASE, n + 1), _powers(_BACK, n + 1)
+    sums = np.empty(n + 1, dtype=np.uint64)
+    sums[0] = 0
+    np.cumsum(_VALUE[data] * _cache["up"][:n], out=sums[1:])
+    h = sums[width:] - sums[: n + 1 - width]
+    h *= _cache["down"][: len(h)]
+    h += _U(width) * _ODD
+    return mix(h)
+
+
 @dataclass
 class Words:
     """Words of a slice: byte spans, hashes, and the row borders in the list of words."""
