@@ -109,6 +109,13 @@ class ChunkEncoder:
             return b""
         if not self.split:
             return self._library(text)
+        if "<" not in text:
+            # lower case changes nothing that the normalizer keeps, where it works letter by letter
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
         return self.chunks.join([x for x in self.SPACE.split(text) if x], self._chunk, KEEP_LENGTH)
 
 
