@@ -192,7 +192,8 @@ def cycle_witnesses(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         found = list(_witnesses(pdf))
-        return pd.DataFrame({"component": [pdf["component"].iloc[0]] * len(found), "cycle": found})
+        names = pd.Series([pdf["component"].iloc[0]] * len(found), dtype=object)
+        return pd.DataFrame({"component": names, "cycle": pd.Series(found, dtype=object)})
 
     return placed.select("component", "src", "dst").groupBy("component").applyInPandas(search, f"component {kind}, cycle array<{kind}>")
 
