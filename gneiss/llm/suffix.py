@@ -129,12 +129,17 @@ def repeated_windows(contexts: list[bytes], length: int = LENGTH) -> list[np.nda
 # -- anchors ----------------------------------------------------------------------------------
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, anchor hash, first window, last window) of each anchor; windows are positions in ``data``."""
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor hash, first window, last window, inner) of each run of windows with one anchor hash.
+
+    Windows are positions in ``data``. A run is inner if its anchor stands in several places, as in
+    periodic text, so that its own windows may be equal.
+    """
     none = np.empty(0, np.int64)
+    nothing = none, np.empty(0, np.uint64), none, none, np.empty(0, bool)
     n = len(data)
     if n < length:
-        return none, np.empty(0, np.uint64), none, none
+        return nothing
     h = tv.hash_windows(data, k)
     span, low = length - k + 1, _U(24)
     least = (h >> low << low) | (_U((1 << 24) - 1) - np.arange(len(h), dtype=np.uint64) % _U(1 << 24))
@@ -148,11 +153,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
     row = np.searchsorted(offsets, np.arange(len(place)), side="right") - 1
     good = np.flatnonzero(np.arange(len(place)) + length <= offsets[row + 1])
     if not len(good):
-        return none, np.empty(0, np.uint64), none, none
+        return nothing
     place, row = place[good], row[good]
-    fresh = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (row[1:] != row[:-1]) | (good[1:] != good[:-1] + 1)]))
+    own = h[place]
+    fresh = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (row[1:] != row[:-1]) | (good[1:] != good[:-1] + 1)]))
     stops = np.concatenate([fresh[1:], [len(good)]]) - 1
-    return row[fresh], h[place[fresh]], good[fresh], good[stops]
+    return row[fresh], own[fresh], good[fresh], good[stops], place[fresh] != place[stops]
 
 
 def _pieces(part: tv.Slice) -> Iterator[tuple[int, tv.Slice, int]]:
@@ -174,10 +180,11 @@ def _ranges(hashes: np.ndarray, parts: int) -> np.ndarray:
 def _anchor_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     for part in tv.slices(batch.column(0)):
         for _, piece, _ in _pieces(part):
-            yield anchors(piece.data, piece.offsets)[1]
+            _, hashes, _, _, inner = anchors(piece.data, piece.offsets)
+            yield np.concatenate([hashes, hashes[inner]])
 
 
-FOUND = "range int, key binary, at long, context binary, anchor long, twice boolean, body binary"
+FOUND = "range int, key binary, at long, context binary, anchor long, twice boolean, inner boolean, body binary"
 
 
 def find_contexts(docs: DataFrame, parts: int, table: bytes) -> DataFrame:
@@ -191,7 +198,7 @@ def find_contexts(docs: DataFrame, parts: int, table: bytes) -> DataFrame:
 
         def places(keys: list, ats: list, names: list) -> pa.RecordBatch:
             n = len(keys)
-            cols = [pa.nulls(n, pa.int32()), pa.array(keys, pa.binary()), pa.array(ats, pa.int64()), pa.array(names, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary())]
+            cols = [pa.nulls(n, pa.int32()), pa.array(keys, pa.binary()), pa.array(ats, pa.int64()), pa.array(names, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary())]
             return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in FOUND.split(", ")])
 
         def contexts() -> Iterator[pa.RecordBatch]:
@@ -201,7 +208,7 @@ def find_contexts(docs: DataFrame, parts: int, table: bytes) -> DataFrame:
                 n = len(some)
                 hashes = np.array([v[0] for _, v in some], dtype=np.uint64)
                 cols = [pa.array(_ranges(hashes, parts)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array([k for k, _ in some], pa.binary())]
-                cols += [pa.array(hashes.view(np.int64)), pa.array([v[1] for _, v in some], pa.bool_()), pa.array([v[2] for _, v in some], pa.binary())]
+                cols += [pa.array(hashes.view(np.int64)), pa.array([v[1] for _, v in some], pa.bool_()), pa.array([v[2] for _, v in some], pa.bool_()), pa.array([v[3] for _, v in some], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in FOUND.split(", ")])
 
         for batch in batches:
@@ -209,10 +216,10 @@ def find_contexts(docs: DataFrame, parts: int, table: bytes) -> DataFrame:
                 keys, ats, names = [], [], []
                 own = [hashlib.blake2b(part.data[a:b].tobytes(), digest_size=16).digest() for a, b in zip(part.offsets[:-1], part.offsets[1:], strict=True)]
                 for shift, piece, ahead in _pieces(part):
-                    row, h, first, last = anchors(piece.data, piece.offsets)
+                    row, h, first, last, inner = anchors(piece.data, piece.offsets)
                     hit = np.flatnonzero(bits.may_repeat(h))
                     raw = piece.data.tobytes()
-                    for r, v, a, b in zip(row[hit].tolist(), h[hit].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
+                    for r, v, a, b, own_again in zip(*(x[hit].tolist() for x in (row, h, first, last, inner)), strict=True):
                         body = raw[a : b + LENGTH]
                         name = hashlib.blake2b(body, digest_size=16).digest()
                         if own[r + shift] not in known:
@@ -221,7 +228,7 @@ def find_contexts(docs: DataFrame, parts: int, table: bytes) -> DataFrame:
                             names.append(name)
                         old = bodies.get(name)
                         if old is None:
-                            bodies[name] = [v, False, body]
+                            bodies[name] = [v, False, own_again, body]
                             size += len(body)
                         else:
                             old[1] = True
@@ -240,11 +247,14 @@ def find_contexts(docs: DataFrame, parts: int, table: bytes) -> DataFrame:
 def mark_repeats(contexts: DataFrame, parts: int) -> DataFrame:
     """(context, spans): runs of bytes of a context that lie in repeated windows, as start, stop, start, stop ..."""
 
-    def settle(groups: list[list[tuple[bytes, bool, bytes]]]) -> Iterator[tuple[bytes, list[int]]]:
-        mixed = [x for g in groups if len(g) > 1 for x in g]
-        marks = dict(zip((x[0] for x in mixed), repeated_windows([x[2] for x in mixed]), strict=True)) if mixed else {}
+    def is_open(g: list[tuple[bytes, bool, bool, bytes]]) -> bool:
+        return len(g) > 1 or (g[0][2] and not g[0][1])
+
+    def settle(groups: list[list[tuple[bytes, bool, bool, bytes]]]) -> Iterator[tuple[bytes, list[int]]]:
+        mixed = [x for g in groups if is_open(g) for x in g]
+        marks = dict(zip((x[0] for x in mixed), repeated_windows([x[3] for x in mixed]), strict=True)) if mixed else {}
         for g in groups:
-            for name, twice, body in g:
+            for name, twice, _, body in g:
                 if twice:
                     yield name, [0, len(body)]
                 elif name in marks and marks[name].any():
@@ -262,15 +272,15 @@ def mark_repeats(contexts: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, list] = {}
         for batch in batches:
-            for name, anchor, twice, body in zip(*(batch.column(c).to_pylist() for c in ("context", "anchor", "twice", "body")), strict=True):
+            for name, anchor, twice, inner, body in zip(*(batch.column(c).to_pylist() for c in ("context", "anchor", "twice", "inner", "body")), strict=True):
                 old = seen.get(name)
                 if old is None:
-                    seen[name] = [anchor, twice, body]
+                    seen[name] = [anchor, twice, inner, body]
                 else:
                     old[1] = True
         groups: dict[int, list] = {}
-        for name, (anchor, twice, body) in seen.items():
-            groups.setdefault(anchor, []).append((name, twice, body))
+        for name, (anchor, twice, inner, body) in seen.items():
+            groups.setdefault(anchor, []).append((name, twice, inner, body))
         seen.clear()
 
         def send(rows: list) -> pa.RecordBatch:
@@ -280,14 +290,14 @@ def mark_repeats(contexts: DataFrame, parts: int) -> DataFrame:
         for anchor in sorted(groups):
             g = groups[anchor]
             held.append(g)
-            size += sum(len(x[2]) for x in g) if len(g) > 1 else 0
+            size += sum(len(x[3]) for x in g) if is_open(g) else 0
             if size >= SORT_BYTES or len(held) >= 20_000:
                 yield send(list(settle(held)))
                 held, size = [], 0
         if held:
             yield send(list(settle(held)))
 
-    rows = contexts.where("body is not null").select("range", "context", "anchor", "twice", "body")
+    rows = contexts.where("body is not null").select("range", "context", "anchor", "twice", "inner", "body")
     return rows.repartitionById(parts, F.col("range")).mapInArrow(run, "context binary, spans array<int>")
 
 
