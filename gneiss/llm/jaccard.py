@@ -9,9 +9,11 @@ never sent; the last stands in prefixes only where there is little else.
 1. Count every token of every document: tasks exchange sorted runs of hashes by ranges.
 2. Exchange prefixes the same way. A list holds the distinct sets with one token; each links all
    to one centre. The links are verified exactly, and true ones joined to components.
-3. Lists with more than one component left are frequent tokens in need of more: their members are
-   indexed by 2-token and then 3-token combinations of extended prefixes, shorter lists as they
-   are, and only pairs of different components are verified.
+3. While lists hold more than one component, their members are held against a few pivots of other
+   components, chosen by a hash that changes each round, as long as that joins any.
+4. Short lists that still hold several are compared pair by pair across components. Long ones are
+   frequent tokens in need of more: their members are indexed by 2-token and then 3-token
+   combinations of extended prefixes, and treated likewise.
 
 Copies share one set and are handled as one. Links inside a component are not all listed, but
 every pair of sets that share an indexed combination is either verified or already connected.
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.llm import bitfilter
@@ -43,6 +45,8 @@ FREQUENT = 64
 FREQUENT_KEPT = 1 << 20
 #: Lists up to this length are compared pair by pair across components; longer ones by longer combinations.
 SHORT_LIST = 64
+#: Pivots of a list in each round.
+PIVOTS = 6
 #: Tokens that a task holds before it sends its runs.
 HELD_TOKENS = 1_000_000
 COUNT_BITS = 40
@@ -373,22 +377,22 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     indexed = materialize(index_prefixes(rows, parts, width, percent, order), "jaccard-lists")
     pairs = indexed.where("a is not null").select("a", "b").distinct()
     links = _verified(rows, reps, pairs, width, percent)
-    roots = connected(links, "a", "b")
-    hard = _unsettled(indexed.where("list is not null").select("list", F.explode("members").alias("key")), roots)
-    k = 2
-    while hard is not None:
-        short, long_ = hard.where(F.col("size") <= SHORT_LIST), hard.where(F.col("size") > SHORT_LIST)
-        if k > 3:
-            short, long_ = hard, None
-        links = materialize(links.unionByName(_verified(rows, reps, _across(short), width, percent)), "jaccard-links")
-        roots = connected(links, "a", "b")
-        if long_ is None:
+    roots = materialize(connected(links, "a", "b"), "jaccard-roots")
+    lists = indexed.where("list is not null").select("list", F.explode("members").alias("key"))
+    k = 1
+    while True:
+        links, roots, hard = _pivot_rounds(rows, reps, lists, links, roots, width, percent)
+        if hard is None:
             break
-        left = _unsettled(long_.select("list", "key"), roots)
+        long_ = hard.where(F.col("size") > SHORT_LIST) if k < 3 else None
+        short = hard.where(F.col("size") <= SHORT_LIST) if k < 3 else hard
+        links = materialize(links.unionByName(_verified(rows, reps, _across(short), width, percent)), "jaccard-links")
+        roots = materialize(connected(links, "a", "b"), "jaccard-roots")
+        left = _unsettled(long_.select("list", "key"), roots) if long_ is not None else None
         if left is None:
             break
-        hard = _unsettled(combine(rows, reps, left.select("key", "root", "list"), k, width, percent, order).select("list", "key"), roots)
         k += 1
+        lists = combine(rows, reps, left.select("key", "root", "list"), k, width, percent, order).select("list", "key")
     placed = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "key")))
     least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "root", "left")
@@ -413,6 +417,25 @@ def _unsettled(lists: DataFrame, roots: DataFrame) -> DataFrame | None:
     return None if out.isEmpty() else out
 
 
+def _pivot_rounds(
+    rows: DataFrame, reps: DataFrame, lists: DataFrame, links: DataFrame, roots: DataFrame, width: int, percent: int
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Links and roots after rounds of pivots, and the lists that are open still."""
+    hard, seed = _unsettled(lists, roots), 0
+    while hard is not None:
+        seed += 1
+        place = F.row_number().over(Window.partitionBy("list").orderBy(F.xxhash64("key", F.lit(seed))))
+        pivots = hard.withColumn("place", place).where(F.col("place") <= PIVOTS).select("list", F.col("key").alias("p"), F.col("root").alias("s"))
+        tried = hard.join(pivots, "list").where("root != s").select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct()
+        fresh = _verified(rows, reps, tried, width, percent)
+        if fresh.isEmpty():
+            break
+        links = materialize(links.unionByName(fresh), "jaccard-links")
+        roots = materialize(connected(links, "a", "b"), "jaccard-roots")
+        hard = _unsettled(hard.select("list", "key"), roots)
+    return links, roots, hard
+
+
 def _across(short: DataFrame) -> DataFrame:
     """Pairs of different components inside each list."""
     left = short.select("list", F.col("key").alias("a"), F.col("root").alias("r"))

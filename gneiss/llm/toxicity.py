@@ -10,7 +10,7 @@ Learning takes a bounded sample: of the rows outside the held-out fifth, at most
 each label, those with the smallest hash of their id. Every whole text is scored.
 
 Defined results: a null text is scored as the empty text, which has no features, so its score is
-that of the intercept. Without labels of both kinds every score is 0. Rows with a null id are
+that of the intercept. Without labels of both kinds every score is 0 (to double precision). Rows with a null id are
 never held out. Repeated rows are scored one by one.
 """
 
