@@ -158,7 +158,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
     own = h[place]
     fresh = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (row[1:] != row[:-1]) | (good[1:] != good[:-1] + 1)]))
     stops = np.concatenate([fresh[1:], [len(good)]]) - 1
-    return row[fresh], own[fresh], good[fresh], good[stops], place[fresh] != place[stops]
+    # least hashes are small numbers; stirred again they spread evenly over ranges and bit tables
+    return row[fresh], tv.mix(own[fresh]), good[fresh], good[stops], place[fresh] != place[stops]
 
 
 def _pieces(part: tv.Slice) -> Iterator[tuple[int, tv.Slice, int]]:
