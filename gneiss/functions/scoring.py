@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SEVERITIES = ("high", "medium", "low", "info")
-GENERIC_TAGS = ("auto_stored", "finding", "xanalyze")
 
 
 def saturate(x: Column, half: float) -> Column:

@@ -122,7 +122,7 @@ def test_gaps(g: CodeGraph) -> DataFrame:
 
 def isomorphism(g: CodeGraph) -> DataFrame:
     rows = scan.isomorphic_shapes(g.shapes).withColumn("detail", F.concat_ws("|", "type_a", "file_b", "type_b"))
-    return _findings(rows, "hott.isomorphism", "structural_isomorphism", "low", file="file_a", detail="detail")
+    return _findings(rows, "shape.isomorphism", "structural_isomorphism", "low", file="file_a", detail="detail")
 
 
 def sheaf(g: CodeGraph) -> DataFrame:
@@ -131,9 +131,9 @@ def sheaf(g: CodeGraph) -> DataFrame:
     between = R.quotient(g.edges, g.placed).where("from_boundary != to_boundary").select(F.col("from_boundary").alias("src"), F.col("to_boundary").alias("dst"))
     cycles = G.cycle_witnesses(G.vertices(between), between).select(F.col("cycle")[0].alias("boundary"), F.array_join("cycle", ">").alias("path"))
     return (
-        _findings(crossed, "hott.sheaf", "boundary_violation", "high", file="path", detail="target")
-        .unionByName(_findings(open_, "hott.sheaf", "boundary_without_public_api", "low", file="boundary"))
-        .unionByName(_findings(cycles, "hott.sheaf", "circular_boundary", "high", file="boundary", detail="path"))
+        _findings(crossed, "shape.sheaf", "boundary_violation", "high", file="path", detail="target")
+        .unionByName(_findings(open_, "shape.sheaf", "boundary_without_public_api", "low", file="boundary"))
+        .unionByName(_findings(cycles, "shape.sheaf", "circular_boundary", "high", file="boundary", detail="path"))
     )
 
 
@@ -141,9 +141,9 @@ def homotopy(g: CodeGraph) -> DataFrame:
     merged = scan.mergeable_imports(g.files)
     found = G.diamonds(g.edges).withColumn("detail", F.concat_ws("|", "left", "right", "dst"))
     return (
-        _findings(merged, "hott.homotopy", "mergeable_import", "low", file="path", detail="spec")
-        .unionByName(_findings(found, "hott.homotopy", "diamond_dependency", "medium", file="src", detail="detail"))
-        .unionByName(_findings(G.hubs(g.edges), "hott.homotopy", "multi_importer_hub", "low", detail="importers"))
+        _findings(merged, "shape.homotopy", "mergeable_import", "low", file="path", detail="spec")
+        .unionByName(_findings(found, "shape.homotopy", "diamond_dependency", "medium", file="src", detail="detail"))
+        .unionByName(_findings(G.hubs(g.edges), "shape.homotopy", "multi_importer_hub", "low", detail="importers"))
     )
 
 
@@ -167,8 +167,8 @@ def shape_of(betti: DataFrame, memory: bool = False) -> DataFrame:
 
 def manifold_findings(g: CodeGraph) -> DataFrame:
     row = manifold(g).withColumn("node", F.lit(g.root))
-    cycles = _findings(row.where("beta_1 > 0"), "hott.manifold", "independent_cycles", "medium", detail="beta_1")
-    return cycles.unionByName(_findings(row.where("beta_0 > 1"), "hott.manifold", "disconnected_components", "low", detail="beta_0"))
+    cycles = _findings(row.where("beta_1 > 0"), "shape.manifold", "independent_cycles", "medium", detail="beta_1")
+    return cycles.unionByName(_findings(row.where("beta_0 > 1"), "shape.manifold", "disconnected_components", "low", detail="beta_0"))
 
 
 _LINE_RULES = {
@@ -191,7 +191,7 @@ def _line_rules(name: str) -> Callable[[CodeGraph], DataFrame]:
 ANALYZERS: dict[str, Callable[[CodeGraph], DataFrame]] = {
     "topo.orphan": orphans, "topo.entrypoint": entrypoints, "topo.circular": circular, "topo.risk": risk, "topo.test_reachability": test_gaps,
     **{name: _line_rules(name) for name in _LINE_RULES},
-    "hott.isomorphism": isomorphism, "hott.sheaf": sheaf, "hott.homotopy": homotopy, "hott.manifold": manifold_findings,
+    "shape.isomorphism": isomorphism, "shape.sheaf": sheaf, "shape.homotopy": homotopy, "shape.manifold": manifold_findings,
 }
 
 
