@@ -61,7 +61,7 @@ def split(rows: DataFrame, column: str, packed: bytes, held: bool) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def repeated(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], parts: int, bits: int, held_limit: int = 1_000_000) -> bytes:
+def repeated(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], parts: int, bits: int, held_limit: int = 400_000) -> bytes:
     """A table of 2 ** bits bits, by the first bits, of the 64-bit values that occur at least twice in all rows.
 
     Tasks exchange sorted runs by ranges of the value; a task's own repeats are merged before that.

@@ -34,7 +34,7 @@ K = 50
 PIECE = 1 << 20
 ANCHOR_BITS = 27
 #: Bytes of contexts that a task holds before it sends them.
-HELD_BYTES = 16 << 20
+HELD_BYTES = 4 << 20
 #: Bytes of contexts that are sorted at a time (a larger group of one anchor is sorted whole).
 SORT_BYTES = 1_500_000
 _U = np.uint64
