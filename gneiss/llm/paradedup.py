@@ -4,8 +4,12 @@ Paragraphs are lines of ``MIN_LINE`` words or more, and, for passages inside lon
 them, runs of whole sentences: from every sentence start on, until ``RUN_WORDS`` words are reached.
 Lines get MinHash signatures over their five-word shingles in ``BANDS`` bands of ``ROWS`` values, so
 a pair of similarity 0.75 meets with a probability of 0.99; runs have a single band over their whole
-sequence, so equal ones meet. A first pass finds which bands occur twice at all, in a bit table of
-fixed size; only their paragraphs are exchanged. Colliding lines are verified by their exact Jaccard
+sequence, so equal ones meet. Passages that no punctuation marks are found by windows of
+``RUN_WORDS`` words: anchors are those with the least hash among all windows of some ``SHARED``
+consecutive words, so each passage of ``SHARED`` words or more that two documents share has an anchor
+in common. All windows that an anchor stands for are paragraphs, so such a passage is covered from its
+first word to its last. A first pass finds which bands and anchors occur twice at all, in a bit table
+of fixed size; only their paragraphs are exchanged. Colliding lines are verified by their exact Jaccard
 similarity and joined to components. A paragraph that occurs in at least two documents stays where
 (doc_id, position) is smallest, and goes from all other places.
 
@@ -33,6 +37,8 @@ WIDTH = 5
 PERCENT = 75
 MIN_LINE = 20
 RUN_WORDS = 24
+#: Every run of so many words that documents share is found.
+SHARED = 50
 BANDS, ROWS = 10, 3
 REPEAT_BITS = 27
 _U = np.uint64
@@ -43,8 +49,18 @@ _END = np.zeros(256, dtype=bool)
 _END[list(b".!?")] = True
 
 
+def _sliding(values: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
+    """``least`` over each ``width`` consecutive values."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        values = least(values[:-step], values[step:])
+        done += step
+    return values
+
+
 class Paragraphs:
-    """Lines and sentence runs of a slice, as word ranges [first, last)."""
+    """Lines, sentence runs and windows of a slice, as word ranges [first, last)."""
 
     def __init__(self, part: tv.Slice) -> None:
         data = part.data
@@ -76,6 +92,7 @@ class Paragraphs:
         for base in _SEQ:
             up = tv._powers(base, n + 1)
             self.sums.append((np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hashes * up[:n], dtype=np.uint64)]), tv._powers(pow(base, -1, 1 << 64), n + 1)))
+        self.windows, self.anchors = self._anchors(n, row_end)
         full = max(n - WIDTH + 1, 0)
         grams = np.zeros(full, dtype=np.uint64)
         for j in range(WIDTH):
@@ -85,6 +102,28 @@ class Paragraphs:
     def keys(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return tuple(tv.mix((c[last] - c[first]) * down[first] + (last - first).astype(np.uint64)) for c, down in self.sums)
 
+    def _anchors(self, n: int, row_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of the window at each word, and the windows that are least among those of some SHARED words of a row."""
+        if n < SHARED:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        first = np.arange(n - RUN_WORDS + 1)
+        values, span = self.keys(first, first + RUN_WORDS)[0], SHARED - RUN_WORDS + 1
+        least = _sliding(values, span, np.minimum)
+        starts = np.arange(n - SHARED + 1)
+        least[row_end[starts] < starts + SHARED] = 0
+        edge = np.zeros(span - 1, dtype=np.uint64)
+        highest = _sliding(np.concatenate([edge, least, edge]), span, np.maximum)
+        return values, np.flatnonzero((values == highest) & (highest > 0))
+
+    def around(self, anchors: np.ndarray) -> np.ndarray:
+        """The windows that share SHARED words of a row with one of the anchors."""
+        reach = SHARED - RUN_WORDS
+        change = np.zeros(len(self.windows) + 1, dtype=np.int64)
+        np.add.at(change, np.maximum(anchors - reach, 0), 1)
+        np.add.at(change, np.minimum(anchors + reach + 1, len(self.windows)), -1)
+        first = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+        return first[self.row[first] == self.row[first + RUN_WORDS - 1]]
+
     def bands(self) -> np.ndarray:
         """(lines, BANDS) values; a band holds ROWS least values of differently stirred shingle hashes."""
         if not len(self.line_first):
@@ -108,13 +147,14 @@ def _band_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         p = Paragraphs(part)
         yield p.bands().reshape(-1)
         yield p.keys(p.run_first, p.run_last)[0]
+        yield p.windows[p.anchors]
 
 
 UNITS = "doc_id long, doc binary, start long, stop long, node binary, bands array<long>, shingles array<long>"
 
 
 def find_units(docs: DataFrame, table: bytes) -> DataFrame:
-    """Paragraphs with a band that may occur twice; bands and shingles are null for runs."""
+    """Paragraphs with a band that may occur twice; bands and shingles are null for runs and windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeats = bitfilter.RepeatTable(table, REPEAT_BITS)
@@ -128,21 +168,24 @@ def find_units(docs: DataFrame, table: bytes) -> DataFrame:
                 one, two = p.keys(p.run_first, p.run_last)
                 runs = np.flatnonzero(repeats.may_repeat(one))
                 la, lb = p.line_first[lines], p.line_last[lines]
-                a, b = np.concatenate([la, p.run_first[runs]]), np.concatenate([lb, p.run_last[runs]])
+                near = p.around(p.anchors[repeats.may_repeat(p.windows[p.anchors])])
+                a, b = np.concatenate([la, p.run_first[runs], near]), np.concatenate([lb, p.run_last[runs], near + RUN_WORDS])
                 if not len(a):
                     continue
                 k1, k2 = p.keys(a, b)
-                node = np.stack([k1, k2], axis=1).astype("<u8").tobytes()
+                # a line, a run and a window of the same words are different paragraphs
+                kind = np.repeat(np.frombuffer(b"LRW", np.uint8), [len(lines), len(runs), len(near)])
+                node = np.concatenate([np.stack([k1, k2], axis=1).astype("<u8").view(np.uint8).reshape(-1, 16), kind[:, None]], axis=1)
                 row = p.row[a]
-                own = {r: hashlib.blake2b(part.data[part.offsets[r] : part.offsets[r + 1]].tobytes(), digest_size=16).digest() for r in set(row.tolist())}
-                none = [None] * len(runs)
+                used, at = np.unique(row, return_inverse=True)
+                own = [hashlib.blake2b(part.data[part.offsets[r] : part.offsets[r + 1]].tobytes(), digest_size=16).digest() for r in used]
+                none = pa.nulls(len(a) - len(lines), pa.list_(pa.int64()))
                 columns = [
-                    ids.take(pa.array(row + part.first)), pa.array([own[r] for r in row.tolist()], pa.binary()),
+                    ids.take(pa.array(row + part.first)), pa.array(own, pa.binary()).take(pa.array(at)),
                     pa.array(p.words.starts[a] - part.offsets[row]), pa.array(p.words.ends[b - 1] - part.offsets[row]),
-                    # a line and a run of the same words are different paragraphs
-                    pa.array([node[16 * i : 16 * i + 16] + (b"L" if i < len(lines) else b"R") for i in range(len(a))], pa.binary()),
-                    pa.array([bands[i][often[i]].view(np.int64) for i in lines] + none, pa.list_(pa.int64())),
-                    pa.array([tv.distinct(p.grams[x : y - WIDTH + 1]).view(np.int64) for x, y in zip(la, lb, strict=True)] + none, pa.list_(pa.int64())),
+                    pa.FixedSizeBinaryArray.from_buffers(pa.binary(17), len(node), [None, pa.py_buffer(node.tobytes())]).cast(pa.binary()),
+                    pa.concat_arrays([pa.array([bands[i][often[i]].view(np.int64) for i in lines], pa.list_(pa.int64())), none]),
+                    pa.concat_arrays([pa.array([tv.distinct(p.grams[x : y - WIDTH + 1]).view(np.int64) for x, y in zip(la, lb, strict=True)], pa.list_(pa.int64())), none]),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in UNITS.split(", ")])
 
@@ -159,7 +202,9 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     lines = materialize(lines, "paragraph-lines")
     pairs = materialize(banded_pairs(lines.select("node", F.explode("bands").alias("band"))), "paragraph-pairs")
     roots = connected(verified(pairs, lines.select("node", "shingles"), PERCENT), "a", "b")
-    placed = units.select("doc_id", "doc", "start", "stop", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
+    columns = ["doc_id", "doc", "start", "stop"]
+    placed = units.where("bands is not null").select(*columns, "node").join(roots, "node", "left").select(*columns, F.coalesce("root", "node").alias("root"))
+    placed = placed.unionByName(units.where("bands is null").select(*columns, F.col("node").alias("root")))
     document, place = F.struct("doc_id", "doc"), F.struct("doc_id", "doc", "start", "stop")
     groups = placed.groupBy("root").agg(F.min(document).alias("x"), F.max(document).alias("y"), F.min(place).alias("keeper")).where("x != y")
     out = placed.join(groups.select("root", "keeper"), "root")

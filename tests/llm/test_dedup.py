@@ -179,6 +179,31 @@ def test_passages_find_every_long_repeat(docs, texts):
     assert found <= {k for v in short.values() if len(v) > 1 for k in v}
 
 
+def test_passages_without_punctuation(spark):
+    rng = random.Random(11)
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows, spans = [], {}
+    for i in range(0, 60, 2):
+        shared = own(50 + i % 7)
+        for k in (i, i + 1):
+            head = own(rng.randrange(1, 90)) + " "
+            rows.append((k, head + shared + " " + own(rng.randrange(1, 90))))
+            spans[k] = (len(head), len(head) + len(shared))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["start"], r["stop"]): r["removed"] for r in paradedup.passages(table).collect()}
+    assert got == {(k, *v): k % 2 == 1 for k, v in spans.items()}
+
+
+def test_passages_miss_no_document(docs, texts):
+    words = {k: BLANK.findall(UPPER.sub(lambda m: m[0].lower(), t or "")) for k, t in texts.items()}
+    where = defaultdict(set)
+    for k, w in words.items():
+        for i in range(len(w) - 49):
+            where[tuple(w[i : i + 50])].add(k)
+    due = {k for v in where.values() if len(v) > 1 for k in v}
+    assert due and due <= {r["doc_id"] for r in paradedup.passages(docs).collect()}
+
+
 def test_passages_of_odd_tables(odd, empty):
     assert paradedup.passages(empty).count() == 0
     paradedup.passages(odd).collect()
