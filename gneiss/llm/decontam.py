@@ -12,7 +12,8 @@ sequence of their own length. Equal texts are looked at once.
 
 Broadcasts only happen for tables that a count has shown to be small; beyond it the same joins
 shuffle. Defined results: a null text has no words and is not contaminated; an item without words
-has no window; repeated items count under each of their ids; repeated rows are judged one by one.
+has no window; repeated items count under each of their ids, and once for rows of the same id and
+words; different texts of one id are compared each for itself; repeated rows are judged one by one.
 """
 
 from __future__ import annotations
@@ -72,10 +73,10 @@ def text_keys(text: Column) -> list[Column]:
 def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW, k: int = K) -> tuple[DataFrame, DataFrame]:
     """(rows, hits): each row's columns but the text with k1, k2, n_words; and spans of hit words by k1, k2, item."""
     span = window - k + 1
-    bench = materialize(_hashed(items.select(F.col(item).cast("string").alias("item"), F.col(text).alias("_t")), "_t").drop("_t").where("n_words > 0"), "benchmark")
+    bench = materialize(_hashed(items.select(F.col(item).cast("string").alias("item"), F.col(text).alias("_t")), "_t").drop("_t").where("n_words > 0").dropDuplicates(["item", "hashes"]), "benchmark")
     long_items = bench.where(F.col("n_words") >= window).withColumn("grams", _grams(F.col("hashes"), F.col("n_words"), k))
     prints = _small(materialize(long_items.select(F.explode(_winnowed(F.col("grams"), span)).alias("print")).distinct(), "benchmark-prints"))
-    places = _small(materialize(long_items.select("item", F.posexplode("grams").alias("at", "gram")), "benchmark-grams"))
+    places = _small(materialize(long_items.select("item", F.xxhash64("hashes").alias("version"), F.posexplode("grams").alias("at", "gram")), "benchmark-grams"))
 
     others = [F.col(c) for c in docs.columns if c != text]
     body = docs.select(*others, *text_keys(F.col(text)), F.col(text).alias("_t"))
@@ -90,9 +91,9 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item: str =
     chosen = texts.join(candidates, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
     grams = _hashed(chosen, "_t").drop("_t").withColumn("grams", _grams(F.col("hashes"), F.col("n_words"), k))
     met = grams.select("k1", "k2", F.posexplode("grams").alias("pos", "gram")).join(places, "gram").withColumn("diagonal", F.col("pos") - F.col("at"))
-    line = Window.partitionBy("k1", "k2", "item", "diagonal").orderBy("pos")
+    line = Window.partitionBy("k1", "k2", "item", "version", "diagonal").orderBy("pos")
     runs = met.withColumn("run", F.col("pos") - F.row_number().over(line))
-    islands = runs.groupBy("k1", "k2", "item", "diagonal", "run").agg(F.min("pos").alias("start"), (F.max("pos") + k).alias("stop"), F.count(F.lit(1)).alias("n"))
+    islands = runs.groupBy("k1", "k2", "item", "version", "diagonal", "run").agg(F.min("pos").alias("start"), (F.max("pos") + k).alias("stop"), F.count(F.lit(1)).alias("n"))
     spans = [islands.where(F.col("n") >= span).select("k1", "k2", "item", "start", "stop")]
 
     lengths = [r["n_words"] for r in bench.where(F.col("n_words") < window).select("n_words").distinct().collect()]

@@ -108,6 +108,27 @@ def test_decontamination_of_odd_tables(spark, odd, empty):
     assert left.columns == odd.columns and sorted(r["node"] for r in left.collect()) == [2, 5]
 
 
+def test_decontamination_with_repeated_items(spark):
+    long_, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, "head " + long_), (2, other), (3, "clean words only")], "doc_id long, text string")
+    for rows in ([(5, long_), (5, long_), (5, long_.upper())], [(5, long_), (5, other), (5, long_)], [(5, long_), (6, long_)]):
+        items = spark.createDataFrame(rows, "item_id long, text string")
+        ids, texts = {r[0] for r in rows}, {r[1] for r in rows}
+        got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in decontam.report(docs, items).collect()}
+        assert got == {1: (40, len(ids), True), 2: (40, 1, True) if other in texts else (0, 0, False), 3: (0, 0, False)}
+        assert {r["doc_id"] for r in decontam.drop_contaminated(docs, items).collect()} == {3} | ({2} - {2 for _ in texts & {other}})
+
+
+def test_decontamination_keeps_versions_of_an_item_apart(spark):
+    words = [f"w{i}" for i in range(26)]
+    other = [f"v{i}" for i in range(13)]
+    # two texts of one id that only together cover 13 words of the document; item 6 makes it a candidate
+    texts = [(5, words[:11] + ["x"] * 4), (5, ["y"] * 7 + words[7:15]), (6, other)]
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words + other))], "doc_id long, text string")
+    assert [(r["n_hit"], r["n_items"]) for r in decontam.report(docs, items).collect()] == [(13, 1)]
+
+
 def test_shards(docs, texts):
     rows = sharding.shard(docs, 16).collect()
     assert {r["doc_id"] for r in rows} == set(texts) and {r["law"] for r in rows} == {"bytes"}
