@@ -1,20 +1,108 @@
-"""Candidate pairs from bands, and their exact verification, in DataFrame functions only."""
+"""Similar nodes from bands: candidate pairs, their exact verification and components, in DataFrame functions only.
+
+1. In a band every node is paired with the band's smallest node and with the one before it.
+2. Bands of up to ``SHORT_BAND`` nodes that still hold several components are compared pair by pair
+   across components. In longer ones all nodes are held against a few pivots of other components,
+   chosen by a hash that changes each round, as long as that joins any.
+3. Long bands that are open still are dealt into lists by the rare shingles of each node, so that
+   similar nodes share a list; the lists are compared pair by pair across components.
+
+In the end any two nodes of a band that are similar enough are in one component.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.llm.components import connected
+from gneiss.llm.storage import discard, materialize
+
+#: Bands up to this many nodes are compared pair by pair across components.
+SHORT_BAND = 64
+#: Pivots of a band in each round.
+PIVOTS = 6
+
+
+def _met(posted: DataFrame) -> DataFrame:
+    """(node, band, size, head, last) of bands of several nodes: the band's smallest node and the one before."""
+    whole, line = Window.partitionBy("band"), Window.partitionBy("band").orderBy("node")
+    met = posted.select("node", "band", F.count(F.lit(1)).over(whole).alias("size"), F.first("node").over(line).alias("head"), F.lag("node").over(line).alias("last"))
+    return met.where("size > 1")
+
+
+def _open(listed: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """(band, node, root, size) of the bands whose nodes are not all in one component yet."""
+    placed = listed.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    sizes = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size")).where("x != y")
+    out = materialize(placed.join(sizes.select("band", "size"), "band"), "bands-open")
+    return None if out.isEmpty() else out
+
+
+def _across(listed: DataFrame) -> DataFrame:
+    """Pairs of different components inside each band."""
+    left = listed.select("band", F.col("node").alias("a"), F.col("root").alias("r"))
+    right = listed.select("band", F.col("node").alias("b"), F.col("root").alias("s"))
+    return left.join(right, "band").where("a < b and r != s").select("a", "b").distinct()
 
-def banded_pairs(posted: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) from rows (node, band).
 
-    In a band every node is paired with the band's smallest node and with the one before it, so
-    the pairs never outnumber twice the rows.
+def _tried(listed: DataFrame, seed: int) -> DataFrame:
+    """Pairs of each node with a few pivots of its band that are of other components."""
+    place = F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("node", F.lit(seed))))
+    pivots = listed.withColumn("place", place).where(F.col("place") <= PIVOTS).select("band", F.col("node").alias("p"), F.col("root").alias("s"))
+    return listed.join(pivots, "band").where("root != s").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+
+
+def _by_rare_shingles(listed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(band, node): for each band lists by the first n - ceil(percent * n) + 1 shingles of each node, rare ones of the band first.
+
+    Sets as similar as asked for share one of them.
     """
-    line = Window.partitionBy("band").orderBy("node")
-    met = posted.select("node", F.first("node").over(line).alias("head"), F.lag("node").over(line).alias("last")).where("head != node")
-    return met.select(F.explode(F.array("head", "last")).alias("a"), F.col("node").alias("b")).where("a != b").distinct()
+    tokens = listed.select("band", "node").join(sets, "node").select("band", "node", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    ranked = tokens.join(tokens.groupBy("band", "token").agg(F.count(F.lit(1)).alias("often")), ["band", "token"])
+    place = F.row_number().over(Window.partitionBy("band", "node").orderBy("often", "token"))
+    first = ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("often > 1")
+    return first.select(F.xxhash64("band", "token").alias("band"), "node").distinct()
+
+
+def united(posted: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(node, root) of the nodes that are similar to another one of a band; posted: (node, band), each row once.
+
+    ``fetch`` gives the sets (node, shingles) of the nodes of a table.
+    """
+    met = materialize(_met(posted), "band-met")
+    wanted = materialize(met.select("node").distinct(), "band-nodes")
+    sets = materialize(fetch(wanted), "band-sets")
+    discard(wanted)
+    near = met.select(F.explode(F.array("head", "last")).alias("a"), F.col("node").alias("b")).where("a < b").distinct()
+    links = materialize(verified(near, sets, percent), "band-links")
+    roots = materialize(connected(links, "a", "b"), "band-roots")
+
+    def settle(pairs: DataFrame) -> bool:
+        nonlocal links, roots
+        fresh = materialize(verified(pairs, sets, percent), "band-links")
+        if fresh.isEmpty():
+            return False
+        links = materialize(links.unionByName(fresh), "band-links")
+        roots = materialize(connected(links, "a", "b"), "band-roots")
+        return True
+
+    # in a band of three all pairs are tried by now
+    listed, seed = _open(met.where("size > 3").select("band", "node"), roots), 0
+    if listed is not None:
+        settle(_across(listed.where(F.col("size") <= SHORT_BAND)))
+        listed = _open(listed.where(F.col("size") > SHORT_BAND).select("band", "node"), roots)
+    while listed is not None:
+        seed += 1
+        if not settle(_tried(listed, seed)):
+            listed = _open(_by_rare_shingles(listed, sets, percent), roots)
+            if listed is not None:
+                settle(_across(listed))
+            break
+        listed = _open(listed.select("band", "node"), roots)
+    return roots
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -29,8 +29,7 @@ from pyspark.sql import functions as F
 
 from gneiss.llm import bitfilter
 from gneiss.llm import textvec as tv
-from gneiss.llm.bands import banded_pairs, verified
-from gneiss.llm.components import connected
+from gneiss.llm.bands import united
 from gneiss.llm.storage import materialize
 
 WIDTH = 5
@@ -200,8 +199,8 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     units = materialize(find_units(rows, bitfilter.repeated(rows.select("text"), _band_hashes, parts, REPEAT_BITS)), "paragraphs")
     lines = units.where("bands is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
     lines = materialize(lines, "paragraph-lines")
-    pairs = materialize(banded_pairs(lines.select("node", F.explode("bands").alias("band"))), "paragraph-pairs")
-    roots = connected(verified(pairs, lines.select("node", "shingles"), PERCENT), "a", "b")
+    posted = lines.select("node", F.explode(F.array_distinct("bands")).alias("band"))
+    roots = united(posted, lambda wanted: lines.join(wanted, "node", "left_semi").select("node", "shingles"), PERCENT)
     columns = ["doc_id", "doc", "start", "stop"]
     placed = units.where("bands is not null").select(*columns, "node").join(roots, "node", "left").select(*columns, F.coalesce("root", "node").alias("root"))
     placed = placed.unionByName(units.where("bands is null").select(*columns, F.col("node").alias("root")))

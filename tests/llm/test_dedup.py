@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from gneiss.llm import jaccard, linededup, paradedup, suffix
+from gneiss.llm import bands, jaccard, linededup, paradedup, suffix
 from gneiss.llm.components import connected
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -99,6 +99,32 @@ def test_lines_against_brute_force(docs, texts):
     assert missed <= 0.02 * total
 
 
+@pytest.mark.parametrize("short", [64, 2])
+def test_bands_leave_no_similar_pair_apart(spark, monkeypatch, short):
+    monkeypatch.setattr(bands, "SHORT_BAND", short)
+    rng = random.Random(3)
+    sets, posted = {}, set()
+    for g in range(90):
+        core = [rng.randrange(10**6) for _ in range(12)]
+        for _ in range(rng.randint(1, 3)):
+            # a common phrase in all sets, a core for each group
+            k = len(sets)
+            sets[k] = sorted({*range(4), *core, *rng.sample(range(10**6), rng.randint(0, 2))})
+            posted |= {(k, -1), (k, -2 - g % 5)}
+    order = rng.sample(range(1000), len(sets))
+    sets = {order[k]: v for k, v in sets.items()}
+    table = spark.createDataFrame(list(sets.items()), "node long, shingles array<long>")
+    rows = spark.createDataFrame([(order[k], b) for k, b in posted], "node long, band long")
+    got = {r["node"]: r["root"] for r in bands.united(rows, lambda wanted: table.join(wanted, "node"), 75).collect()}
+    parent = {k: k for k in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = set(sets[a]), set(sets[b])
+        if 100 * len(x & y) >= 75 * len(x | y):
+            ra, rb = root_of(parent, a), root_of(parent, b)
+            parent[max(ra, rb)] = min(ra, rb)
+    assert got == {k: root_of(parent, k) for k in sets if k in got} and {k for k in sets if root_of(parent, k) != k} <= set(got)
+
+
 def test_lines_of_odd_tables(odd, empty):
     assert linededup.report(empty).count() == 0
     out = linededup.drop_duplicates(odd)
