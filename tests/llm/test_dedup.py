@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry
 from gneiss.llm import bands, jaccard, linededup, paradedup, suffix
 from gneiss.llm.components import connected
 
@@ -125,6 +126,17 @@ def test_bands_leave_no_similar_pair_apart(spark, monkeypatch, short):
     assert got == {k: root_of(parent, k) for k in sets if k in got} and {k for k in sets if root_of(parent, k) != k} <= set(got)
 
 
+def test_short_and_unspaced_lines(spark, tmp_path):
+    han = "".join(chr(0x4E00 + i) for i in range(60))
+    rows = [
+        (1, f"Read more\nHome\n\n{han}\na\tb\tc\td\te\tf\tg\n\r"), (2, f"Home\nRead more\n\n{han}\u4e00\na\tb\tc\td\te\tf\tg\n\r"),
+        (3, "ha ha ha ha ha\nHouse\nRead less now"), (4, "ha ha ha ha ha ha ha\n" + han[::-1]),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["removed_lines"] for r in entry.queries()["op2_fuzzy_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: "", 2: "0,1,3,4", 3: "", 4: "0"}
+
+
 def test_lines_of_odd_tables(odd, empty):
     assert linededup.report(empty).count() == 0
     out = linededup.drop_duplicates(odd)
