@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gneiss.llm import bitfilter
 from gneiss.llm import textvec as tv
@@ -362,6 +363,14 @@ def combine(docs: DataFrame, reps: DataFrame, hard: DataFrame, k: int, width: in
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles and component_id (the smallest id reachable by links)."""
+    placed = _placed(docs, key, text, width, percent)
+    least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = placed.join(least, "root", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _placed(docs: DataFrame, key: str, text: str, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Per row of ``docs``: doc_id, n, key (of its set) and root, the component; null for texts without words."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -394,9 +403,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
         k += 1
         lists = combine(rows, reps, left.select("key", "root", "list"), k, width, percent, order).select("list", "key")
     placed = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "key")))
-    least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = placed.join(least, "root", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return placed.select("doc_id", "n", "key", "root")
 
 
 def _verified(rows: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -443,16 +450,37 @@ def _across(short: DataFrame) -> DataFrame:
     return left.join(right, "list").where("a < b and r != s").select("a", "b").distinct()
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of each component stays: one with the smallest id. Texts without words all stay.
+def _keyed(rows: DataFrame, text: str, width: int) -> DataFrame:
+    """``rows`` with _gneiss_key, the key of each text's set."""
+    names = rows.columns
+    at = names.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(at), batch.column(at).cast(pa.string())], ["_", "text"])
+            keys = [set_key(t) for _, t in _sets(texts, width)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*names, "_gneiss_key"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_gneiss_key", T.BinaryType())]))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row of each component stays: one with the smallest id, null ids last. Texts without words all stay.
 
-    Only rows that may be among those to go, by a bit table, are joined with them; the rest pass by.
+    Rows are told by id and set, as ids may be null or repeated. Only rows that may be among those to
+    go, by a bit table, are joined with them; the rest pass by.
     """
-    found = materialize(components(docs, key, text, **options), "jaccard-found")
-    gone = found.where("component_id is not null and doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct()
-    filter_ = bitfilter.build(gone)
-    keyed = docs.withColumn("_gneiss_id", F.col(key).cast("long"))
-    maybe = bitfilter.split(keyed, "_gneiss_id", filter_, True).join(gone, F.col("_gneiss_id") == F.col("_id"), "left_anti")
-    kept = maybe.unionByName(bitfilter.split(keyed, "_gneiss_id", filter_, False)).drop("_gneiss_id")
-    again = found.where("n_shingles > 0").groupBy("component_id", "doc_id").count().where("count > 1")
-    return kept if again.isEmpty() else kept.dropDuplicates([key])
+    found = materialize(_placed(docs, key, text, width, percent), "jaccard-found").where("root is not null")
+    rows = found.groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    groups = rows.groupBy("root").agg(F.min(place).alias("keeper"), F.sum("n").alias("total")).where("total > 1")
+    judged = rows.join(groups, "root").withColumn("kept", place == F.col("keeper")).where("not kept or n > 1")
+    judged = materialize(judged.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("kept").alias("_kept")), "jaccard-judged")
+    filter_ = bitfilter.build(judged.select("_id"))
+    ided = docs.withColumn("_gneiss_id", F.col(key).cast("long"))
+    maybe = _keyed(bitfilter.split(ided, "_gneiss_id", filter_, True), text, width)
+    same = (F.col("_gneiss_key") == F.col("_key")) & F.col("_gneiss_id").eqNullSafe(F.col("_id"))
+    met = materialize(maybe.join(judged, same, "left").drop("_id", "_key"), "jaccard-met")
+    free, copies = met.where("_kept is null"), met.where("_kept").dropDuplicates(["_gneiss_id", "_gneiss_key"])
+    kept = free.unionByName(copies).drop("_gneiss_key", "_kept")
+    return kept.unionByName(bitfilter.split(ided, "_gneiss_id", filter_, False)).drop("_gneiss_id")

@@ -68,6 +68,20 @@ def test_jaccard_of_odd_tables(odd, empty):
     assert kept.columns == odd.columns
 
 
+def test_keep_one_by_row(spark):
+    text = lambda x: " ".join(f"{x}{i}" for i in range(30))
+    rows = [
+        (None, text("a"), 1), (None, text("b"), 2), (None, None, 3), (None, "", 4), (None, text("c"), 5), (None, text("c"), 6),
+        (7, text("d"), 7), (7, text("e"), 8), (7, text("e"), 9), (8, text("f"), 10), (None, text("f") + " more", 11), (9, "", 12), (9, "", 13),
+        (3, text("g"), 14), (4, text("g"), 15), (4, text("h"), 16),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string, row long")
+    out = jaccard.keep_one(table)
+    left = sorted(r["row"] for r in out.collect())
+    assert out.columns == table.columns
+    assert left in [sorted({1, 2, 3, 4, c, 7, e, 10, 12, 13, 14, 16}) for c in (5, 6) for e in (8, 9)]
+
+
 def expected_lines(texts):
     places, sets = defaultdict(list), {}
     for k, t in texts.items():
