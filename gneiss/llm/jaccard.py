@@ -1,25 +1,29 @@
 """Exact Jaccard self-join of documents on word n-grams, and its components.
 
-Two sets with similarity t or more share a token among the first n - ceil(t * n) + 1 tokens of
-each, in any order of tokens that all documents agree on; and they share k tokens among the first
-n - ceil(t * n) + k. Here tokens of a single set come first, as far as a bit table of fixed size can
-tell, then others by hash, and frequent ones last, by count. The first kind links nothing and is
-never sent; the last stands in prefixes only where there is little else.
+All sets have one order of tokens: those of a single set first, as far as a bit table of fixed size
+can tell, then rare ones by hash, then frequent ones by count. Two sets with similarity t or more
+share a token among the first n - ceil(t * n) + 1 tokens of each, and k tokens among the first
+n - ceil(t * n) + k. If the first token that they share is rare, they meet in its list. If it is
+frequent, so are all others that they share, and they meet in the list of their first two: so sets
+are indexed by single rare tokens of their prefixes, and by combinations of two frequent tokens of
+their extended prefixes. Sets of more than ``LONG`` tokens, whose combinations would be too many,
+are indexed by single frequent tokens instead; sets near that size by both.
 
 1. Count every token of every document: tasks exchange sorted runs of hashes by ranges.
-2. Exchange prefixes the same way. A list holds the distinct sets with one token; each links all
-   to one centre. The links are verified exactly, and true ones joined to components.
-3. While lists hold more than one component, their members are held against a few pivots of other
-   components, chosen by a hash that changes each round, as long as that joins any.
-4. Short lists that still hold several are compared pair by pair across components. Long ones are
-   frequent tokens in need of more: their members are indexed by 2-token and then 3-token
-   combinations of extended prefixes, and treated likewise.
+2. Exchange the indexed tokens and combinations the same way. Two members of a list are a
+   candidate only if their sizes and the tokens that come after the listed ones leave room for the
+   overlap that they need. A rare token's list is short by definition and gives all its candidates;
+   other lists may be of any length, give each member's candidate pair with a centre, and are kept.
+3. Candidates are verified exactly, and true links joined to components.
+4. Lists that still hold several components: their members are held against a few pivots of other
+   components, chosen by a hash that changes each round, as long as that joins many. The candidates
+   across components that are left then are verified as well.
 
 Copies share one set and are handled as one. Links inside a component are not all listed, but
-every pair of sets that share an indexed combination is either verified or already connected.
+every candidate pair is either verified or already connected.
 
 Defined results: a text without words is an empty set, linked with nothing; a null id stands for a
-row of its own; repeated rows form one class; other columns are ignored.
+row of its own; repeated rows form one class; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,22 +34,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gneiss.llm import bitfilter
 from gneiss.llm import textvec as tv
 from gneiss.llm.components import connected
-from gneiss.llm.storage import discard, materialize
+from gneiss.llm.storage import discard, materialize, released
 
 WIDTH = 5
 PERCENT = 75
 #: A token is frequent from this many sets on; no more than so many tokens, the most frequent, are sent to all tasks.
 FREQUENT = 64
 FREQUENT_KEPT = 1 << 20
-#: Lists up to this length are compared pair by pair across components; longer ones by longer combinations.
-SHORT_LIST = 64
+#: Lists of rare tokens up to this length are compared pair by pair; longer ones, as tokens beyond FREQUENT_KEPT may have, are treated as those of frequent tokens.
+SHORT_LIST = 128
+#: Sets of up to so many tokens are indexed by combinations of frequent tokens, larger ones by single ones.
+LONG = 256
+#: Bytes of text for each range of tokens, at most.
+RANGE_BYTES = 32 << 20
 #: Pivots of a list in each round.
 PIVOTS = 6
 #: Tokens that a task holds before it sends its runs.
@@ -95,23 +103,36 @@ class Order:
         at = (tokens >> _U(64 - SHARED_BITS)).astype(np.int64)
         return (self.table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
-    def prefix(self, tokens: np.ndarray, extra: int, percent: int) -> np.ndarray:
-        """The tokens of the prefix that other sets may have, in order."""
-        n = len(tokens)
-        take = min(n, n - required(n, percent) + extra)
-        tokens = tokens[self.is_shared(tokens)]
-        take -= n - len(tokens)
-        if take <= 0 or not len(self.frequent):
-            return tokens[: max(take, 0)]
-        short = tokens >> _U(64 - COUNT_BITS)
+    def split(self, tokens: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        """How many tokens surely no other set has, which stand first; the rare others; the frequent ones, all in order."""
+        shared = tokens[self.is_shared(tokens)]
+        lone = len(tokens) - len(shared)
+        if not len(self.frequent):
+            return lone, shared, shared[:0]
+        short = shared >> _U(64 - COUNT_BITS)
         at = np.minimum(np.searchsorted(self.frequent, short), len(self.frequent) - 1)
         often = self.frequent[at] == short
-        rare = tokens[~often]
-        if len(rare) >= take:
-            return rare[:take]
-        rest = tokens[often]
-        rest = rest[np.lexsort((rest, self.counts[at[often]]))]
-        return np.concatenate([rare, rest[: take - len(rare)]])
+        rest = shared[often]
+        return lone, shared[~often], rest[np.lexsort((rest, self.counts[at[often]]))]
+
+    def entries(self, tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """What a set is indexed by: names, the overlap that each leaves room for, and how many of them are single rare tokens (they come first)."""
+        n = len(tokens)
+        one = n - required(n, percent) + 1
+        lone, rare, often = self.split(tokens)
+        take = max(0, min(len(rare), one - lone))
+        names, room = [rare[:take]], [n - lone - np.arange(take)]
+        before = lone + len(rare)
+        firsts = min(len(often), max(0, one - before))
+        if firsts and percent * n <= 100 * LONG:
+            i, j = np.triu_indices(min(len(often), one + 1 - before), 1)
+            i, j = i[i < firsts], j[i < firsts]
+            names.append(tv.mix(often[i] * tv._LANE[0] + often[j] * tv._LANE[1]))
+            room.append(n - before - j + 1)
+        if firsts and n > LONG:
+            names.append(often[:firsts])
+            room.append(n - before - np.arange(firsts))
+        return np.concatenate(names), np.concatenate(room), take
 
 
 def _by_range(df: DataFrame, parts: int) -> DataFrame:
@@ -186,17 +207,18 @@ def count_tokens(docs: DataFrame, parts: int, width: int) -> DataFrame:
             steps = np.diff(np.unique(places), prepend=_U(0)).astype("<u4")
             yield _row(PASS_ONE, 1, bits=pa.array([zlib.compress(steps.tobytes(), 1)], pa.binary()))
 
-    return _by_range(docs.mapInArrow(send, PASS_ONE), parts).mapInArrow(gather, PASS_ONE)
+    return _by_range(docs.mapInArrow(released(send), PASS_ONE), parts).mapInArrow(released(gather), PASS_ONE)
 
 
-LISTS = "range int, blob binary, a binary, b binary, list binary, members array<binary>"
+LISTS = "range int, blob binary, list long, key binary, n int, room int"
+CANDIDATES = "a binary, b binary, list long, key binary, n int, room int"
 
 
-def _posting_blobs(tokens: list[np.ndarray], keys: list[bytes], sizes: list[int], parts: int) -> tuple[list[int], list[bytes]]:
-    flat = np.concatenate(tokens)
-    node = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(t) for t in tokens])
+def _posting_blobs(names: list[np.ndarray], rooms: list[np.ndarray], keys: list[bytes], sizes: list[int], parts: int) -> tuple[list[int], list[bytes]]:
+    flat, room = np.concatenate(names), np.concatenate(rooms)
+    node = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(t) for t in names])
     order = np.argsort(flat)
-    flat, node = flat[order], node[order]
+    flat, room, node = flat[order], room[order], node[order]
     bounds = np.searchsorted(_ranges(flat, parts), np.arange(parts + 1))
     table = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 16)
     size = np.array(sizes, dtype="<u4")
@@ -205,112 +227,116 @@ def _posting_blobs(tokens: list[np.ndarray], keys: list[bytes], sizes: list[int]
         if b > a:
             used, local = np.unique(node[a:b], return_inverse=True)
             head = np.array([b - a, len(used)], dtype="<u4").tobytes()
-            blobs.append(head + flat[a:b].astype("<u8").tobytes() + local.astype("<u4").tobytes() + table[used].tobytes() + size[used].tobytes())
+            blobs.append(head + flat[a:b].astype("<u8").tobytes() + local.astype("<u4").tobytes() + room[a:b].astype("<u4").tobytes() + table[used].tobytes() + size[used].tobytes())
             ranges.append(r)
     return ranges, blobs
 
 
-def _read_blob(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    m, k = np.frombuffer(raw, "<u4", 2)
-    tokens = np.frombuffer(raw, "<u8", m, 8)
-    local = np.frombuffer(raw, "<u4", m, 8 + 8 * int(m))
-    table = np.frombuffer(raw, "S16", k, 8 + 12 * int(m))
-    size = np.frombuffer(raw, "<u4", k, 8 + 12 * int(m) + 16 * int(k))
-    return tokens, local, table, size
+def _read_blob(raw: bytes) -> list[np.ndarray]:
+    m, k = (int(x) for x in np.frombuffer(raw, "<u4", 2))
+    out, at = [], 8
+    for kind, rows in (("<u8", m), ("<u4", m), ("<u4", m), ("S16", k), ("<u4", k)):
+        out.append(np.frombuffer(raw, kind, rows, at))
+        at += rows * np.dtype(kind).itemsize
+    return out
 
 
 def index_prefixes(docs: DataFrame, parts: int, width: int, percent: int, order: Order) -> DataFrame:
-    """Star links (a, b) of each token's sets, and the distinct lists of sets that share a token."""
+    """Blobs of rare tokens for each range, and rows (list, key, n, room) of the lists of frequent ones."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, keys, sizes, size, seen = [], [], [], 0, set()
+        held: tuple[list, list, list, list] = ([], [], [], [])
+        size, seen = 0, set()
+
+        def blobs() -> pa.RecordBatch:
+            ranges, raw = _posting_blobs(*held, parts)
+            for x in held:
+                x.clear()
+            return _row(LISTS, len(ranges), range=pa.array(ranges, pa.int32()), blob=pa.array(raw, pa.binary()))
+
         for batch in batches:
             for _, own in _sets(batch, width):
                 key = set_key(own)
                 if len(own) < 3 or key in seen:  # different sets of fewer tokens cannot be similar enough
                     continue
                 seen.add(key)
-                prefix = order.prefix(own, 1, percent)
-                if not len(prefix):
-                    continue
-                tokens.append(prefix)
-                keys.append(key)
-                sizes.append(len(own))
-                size += len(tokens[-1])
-                if size >= HELD_TOKENS:
-                    ranges, blobs = _posting_blobs(tokens, keys, sizes, parts)
-                    yield _row("range int, blob binary", len(ranges), range=pa.array(ranges, pa.int32()), blob=pa.array(blobs, pa.binary()))
-                    tokens, keys, sizes, size = [], [], [], 0
-        if keys:
-            ranges, blobs = _posting_blobs(tokens, keys, sizes, parts)
-            yield _row("range int, blob binary", len(ranges), range=pa.array(ranges, pa.int32()), blob=pa.array(blobs, pa.binary()))
+                names, room, rare = order.entries(own, percent)
+                if rare:
+                    for x, value in zip(held, (names[:rare], room[:rare], key, len(own)), strict=True):
+                        x.append(value)
+                    size += rare
+                    if size >= HELD_TOKENS:
+                        yield blobs()
+                        size = 0
+                m = len(names) - rare
+                if m:
+                    yield _row(LISTS, m, list=pa.array(names[rare:].view(np.int64)), key=pa.array([key] * m, pa.binary()), n=pa.array([len(own)] * m, pa.int32()), room=pa.array(room[rare:].astype(np.int32)))
+        if size:
+            yield blobs()
+
+    return docs.mapInArrow(released(send), LISTS)
+
+
+def rare_candidates(blobs: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Candidates (a, b) of the rare tokens' lists, and rows (list, key, n, room) of those that are not short."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts_in = [_read_blob(x.as_py()) for batch in batches for x in batch.column("blob")]
-        if not parts_in:
+        read = [_read_blob(x.as_py()) for batch in batches for x in batch.column("blob")]
+        if not read:
             return
-        tokens = np.concatenate([p[0] for p in parts_in])
-        base = np.cumsum([0, *(len(p[2]) for p in parts_in)])
-        names, ids = np.unique(np.concatenate([p[2] for p in parts_in]), return_inverse=True)
-        sizes = np.zeros(len(names), dtype=np.int64)
-        sizes[ids] = np.concatenate([p[3] for p in parts_in])
-        node = ids[np.concatenate([p[1] + base[i] for i, p in enumerate(parts_in)])]
-        del parts_in
-        order_ = np.lexsort((node, tokens))
-        tokens, node = tokens[order_], node[order_]
-        fresh = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (node[1:] != node[:-1])])
-        tokens, node = tokens[fresh], node[fresh]
-        edges = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]))
-        counts = np.diff(edges)
-        links, lists = set(), {}
-        for at in np.flatnonzero(counts > 1):
-            own = node[edges[at] : edges[at + 1]]
-            mark = own.tobytes()
-            if mark in lists:
-                continue
-            lists[mark] = tokens[edges[at]]
-            by_size = own[np.argsort(sizes[own], kind="stable")]
-            near = sizes[by_size]
-            # the centre is the first set, and a new one wherever sets outgrow what the last can match
-            centre = 0
-            for i in range(1, len(by_size)):
-                if near[centre] * 100 < percent * near[i]:
-                    centre = i
-                else:
-                    links.add((int(by_size[centre]), int(by_size[i])))
-        pairs = np.array(sorted(links), dtype=np.int64).reshape(-1, 2)
+        base = np.cumsum([0, *(len(p[3]) for p in read)])
+        keys, ids = np.unique(np.concatenate([p[3] for p in read]), return_inverse=True)
+        sizes = np.zeros(len(keys), dtype=np.int64)
+        sizes[ids] = np.concatenate([p[4] for p in read])
+        name, room = np.concatenate([p[0] for p in read]), np.concatenate([p[2] for p in read]).astype(np.int64)
+        node = ids[np.concatenate([p[1] + base[i] for i, p in enumerate(read)])]
+        del read
+        by = np.lexsort((node, name))
+        name, room, node = name[by], room[by], node[by]
+        fresh = np.concatenate([[True], (name[1:] != name[:-1]) | (node[1:] != node[:-1])])
+        name, room, node = name[fresh], room[fresh], node[fresh]
+        edges = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1], [True]]))
+        long = np.repeat(np.diff(edges) > SHORT_LIST, np.diff(edges))
+        for s in range(0, int(long.sum()), 10_000):
+            at = np.flatnonzero(long)[s : s + 10_000]
+            columns = {"list": pa.array(name[at].view(np.int64)), "key": pa.array(_bytes(keys[node[at]]), pa.binary())}
+            yield _row(CANDIDATES, len(at), **columns, n=pa.array(sizes[node[at]].astype(np.int32)), room=pa.array(room[at].astype(np.int32)))
+        name, room, node = name[~long], room[~long], node[~long]
+        size, found, step = sizes[node], [], 1
+        while step < len(name):
+            same = np.flatnonzero(name[step:] == name[:-step])
+            if not len(same):
+                break
+            p, q = same, same + step
+            need = -(-percent * (size[p] + size[q]) // (100 + percent))
+            good = np.minimum(room[p], room[q]) >= need
+            found.append(np.unique(node[p[good]] * len(keys) + node[q[good]]))
+            step += 1
+        pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
         for s in range(0, len(pairs), 10_000):
-            p = pairs[s : s + 10_000]
-            yield _lists(a=pa.array(_bytes(names[p[:, 0]])), b=pa.array(_bytes(names[p[:, 1]])), n=len(p))
-        kept = list(lists.items())
-        for s in range(0, len(kept), 2_000):
-            some = kept[s : s + 2_000]
-            members = [_bytes(names[np.frombuffer(m, dtype=node.dtype)]) for m, _ in some]
-            yield _lists(list=pa.array([int(t).to_bytes(8, "little") for _, t in some], pa.binary()), members=pa.array(members, pa.list_(pa.binary())), n=len(some))
+            a, b = np.divmod(pairs[s : s + 10_000], len(keys))
+            yield _row(CANDIDATES, len(a), a=pa.array(_bytes(keys[a]), pa.binary()), b=pa.array(_bytes(keys[b]), pa.binary()))
 
-    return _by_range(docs.mapInArrow(send, "range int, blob binary"), parts).mapInArrow(gather, "a binary, b binary, list binary, members array<binary>")
+    return _by_range(blobs, parts).mapInArrow(released(gather), CANDIDATES)
 
 
 def _bytes(names: np.ndarray) -> list[bytes]:
     return [x.ljust(16, b"\0") for x in names.tolist()]
 
 
-def _lists(n: int, **columns: pa.Array) -> pa.RecordBatch:
-    kinds = {"a": pa.binary(), "b": pa.binary(), "list": pa.binary(), "members": pa.list_(pa.binary())}
-    return pa.RecordBatch.from_arrays([columns[k].cast(t) if k in columns else pa.nulls(n, t) for k, t in kinds.items()], list(kinds))
-
-
 def fetch_sets(docs: DataFrame, reps: DataFrame, keys: DataFrame, width: int) -> DataFrame:
-    """(key, tokens) for the sets in ``keys``; only documents that stand for one are hashed again."""
-    wanted = reps.join(keys, "key", "left_semi")
-    filter_ = bitfilter.build(wanted.select("doc_id"))
+    """(key, tokens) for the sets in ``keys``; only documents that may stand for one are hashed again."""
+    filter_ = bitfilter.build(reps.join(keys, "key", "left_semi").select("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitfilter.BitFilter(filter_)
         for batch in batches:
-            sets = [t for _, t in _sets(batch, width)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(t) for t in sets], pa.binary()), pa.array([t.tobytes() for t in sets], pa.binary())], ["key", "tokens"])
+            own = batch.filter(pa.array(bits.may_hold(batch.column(0))))
+            sets = [t for _, t in _sets(own, width)]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(t) for t in sets], pa.binary()), pa.array([t.tobytes() for t in sets], pa.binary())], ["key", "tokens"])
 
-    found = bitfilter.split(docs, "doc_id", filter_, True).mapInArrow(run, "key binary, tokens binary")
+    found = docs.mapInArrow(released(run), "key binary, tokens binary")
     return found.join(keys, "key", "left_semi").dropDuplicates(["key"])
 
 
@@ -329,36 +355,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * shared >= percent * (len(both) - shared))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return two.mapInArrow(run, "a binary, b binary")
-
-
-def combine(docs: DataFrame, reps: DataFrame, hard: DataFrame, k: int, width: int, percent: int, order: Order) -> DataFrame:
-    """For each set of a hard list: the list joined with each other token of the set's k-prefix."""
-    keys = hard.select("key").distinct()
-    filter_ = bitfilter.build(reps.join(keys, "key", "left_semi").select("doc_id"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [t for _, t in _sets(batch, width)]
-            out = [order.prefix(t, k, percent).tobytes() for t in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(t) for t in sets], pa.binary()), pa.array(out, pa.binary())], ["key", "prefix"])
-
-    prefixes = bitfilter.split(docs, "doc_id", filter_, True).mapInArrow(run, "key binary, prefix binary").dropDuplicates(["key"])
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, root, listed, prefix in zip(*(batch.column(i) for i in range(4)), strict=True):
-                tokens, own = np.frombuffer(prefix.as_py(), "<u8"), np.frombuffer(listed.as_py(), "<u8")
-                more = tokens[~np.isin(tokens, own)]
-                # the tokens of a combination in ascending order name it
-                table = np.sort(np.concatenate([np.repeat(own[None, :], len(more), axis=0), more[:, None]], axis=1), axis=1)
-                m = len(table)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x.tobytes() for x in table], pa.binary()), pa.array([key.as_py()] * m, pa.binary()), pa.array([root.as_py()] * m, pa.binary())],
-                    ["list", "key", "root"],
-                )
-
-    return hard.join(prefixes, "key").select("key", "root", "list", "prefix").mapInArrow(extend, "list binary, key binary, root binary").distinct()
+    return two.mapInArrow(released(run), "a binary, b binary")
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -369,11 +366,16 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _parts(rows: DataFrame) -> int:
+    """How many ranges of tokens: as many as the session's shuffle partitions, and more for large inputs."""
+    size = rows.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
+    return max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
+
+
 def _placed(docs: DataFrame, key: str, text: str, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: doc_id, n, key (of its set) and root, the component; null for texts without words."""
-    spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    parts = _parts(rows)
     first = materialize(count_tokens(rows, parts, width), "jaccard-sets")
     members = first.where("key is not null").select("doc_id", "n", "key")
     frequent = first.where("token is not null").select("token", "count").orderBy(F.desc("count"), "token").limit(FREQUENT_KEPT).toPandas()
@@ -381,73 +383,70 @@ def _placed(docs: DataFrame, key: str, text: str, width: int = WIDTH, percent: i
     for row in first.where("bits is not null").select("bits").toLocalIterator():
         table[np.cumsum(np.frombuffer(zlib.decompress(row["bits"]), "<u4"), dtype=np.int64)] = True
     order = Order(zlib.compress(np.packbits(table).tobytes(), 1), frequent["token"].to_numpy(np.int64).view(np.uint64), frequent["count"].to_numpy(np.int64))
+    del table
     reps = members.where("n > 2").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
 
-    indexed = materialize(index_prefixes(rows, parts, width, percent, order), "jaccard-lists")
-    pairs = indexed.where("a is not null").select("a", "b").distinct()
-    links = _verified(rows, reps, pairs, width, percent)
+    indexed = materialize(index_prefixes(rows, parts, width, percent, order), "jaccard-index")
+    found = materialize(rare_candidates(indexed.where("blob is not null").select("range", "blob"), parts, percent), "jaccard-candidates")
+    rare = found.where("a is not null").select("a", "b").distinct()
+    lists = indexed.unionByName(found, allowMissingColumns=True).where("list is not null").select("list", "key", "n", "room")
+    keys = rare.select(F.col("a").alias("key")).unionByName(rare.select(F.col("b").alias("key"))).unionByName(lists.select("key")).distinct()
+    sets = materialize(fetch_sets(rows, reps, materialize(keys, "jaccard-keys"), width), "jaccard-tokens")
+    links = materialize(verify(rare, sets, percent), "jaccard-links")
     roots = materialize(connected(links, "a", "b"), "jaccard-roots")
-    lists = indexed.where("list is not null").select("list", F.explode("members").alias("key"))
-    k = 1
-    while True:
-        links, roots, hard = _pivot_rounds(rows, reps, lists, links, roots, width, percent)
-        if hard is None:
-            break
-        long_ = hard.where(F.col("size") > SHORT_LIST) if k < 3 else None
-        short = hard.where(F.col("size") <= SHORT_LIST) if k < 3 else hard
-        links = materialize(links.unionByName(_verified(rows, reps, _across(short), width, percent)), "jaccard-links")
-        roots = materialize(connected(links, "a", "b"), "jaccard-roots")
-        left = _unsettled(long_.select("list", "key"), roots) if long_ is not None else None
-        if left is None:
-            break
-        k += 1
-        lists = combine(rows, reps, left.select("key", "root", "list"), k, width, percent, order).select("list", "key")
+    roots = _settled(lists, links, roots, sets, percent)
     placed = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "key")))
     return placed.select("doc_id", "n", "key", "root")
 
 
-def _verified(rows: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    pairs = materialize(pairs, "jaccard-pairs")
-    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = fetch_sets(rows, reps, keys, width)
-    out = materialize(verify(pairs, sets, percent), "jaccard-links")
-    discard(pairs)
-    return out
+def _settled(lists: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The roots after all candidates of ``lists`` are verified or connected."""
+    opened, seed, left = _unsettled(lists.distinct(), roots), 0, None
+    while opened is not None:
+        seed += 1
+        size = opened.count()
+        last = left is not None and size > 0.9 * left
+        tried = materialize(_across(opened, percent) if last else _tried(opened, seed, percent), "jaccard-pairs")
+        fresh = materialize(verify(tried, sets, percent), "jaccard-links")
+        links = materialize(links.unionByName(fresh), "jaccard-links")
+        discard(tried, fresh)
+        roots = materialize(connected(links, "a", "b"), "jaccard-roots")
+        if last:
+            break
+        left, following = size, _unsettled(opened.select("list", "key", "n", "room"), roots)
+        discard(opened)
+        opened = following
+    return roots
 
 
 def _unsettled(lists: DataFrame, roots: DataFrame) -> DataFrame | None:
-    """(list, key, root, size) of the lists whose sets are not all in one component yet."""
-    placed = lists.join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "key"))
-    sizes = placed.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size")).where("x != y")
-    out = materialize(placed.join(sizes.select("list", "size"), "list"), "jaccard-open")
+    """(list, key, n, room, root) of the lists whose sets are not all in one component yet."""
+    placed = lists.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    open_ = placed.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("list")
+    out = materialize(placed.join(open_, "list").select("list", "key", "n", "room", "root"), "jaccard-open")
     return None if out.isEmpty() else out
 
 
-def _pivot_rounds(
-    rows: DataFrame, reps: DataFrame, lists: DataFrame, links: DataFrame, roots: DataFrame, width: int, percent: int
-) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Links and roots after rounds of pivots, and the lists that are open still."""
-    hard, seed = _unsettled(lists, roots), 0
-    while hard is not None:
-        seed += 1
-        place = F.row_number().over(Window.partitionBy("list").orderBy(F.xxhash64("key", F.lit(seed))))
-        pivots = hard.withColumn("place", place).where(F.col("place") <= PIVOTS).select("list", F.col("key").alias("p"), F.col("root").alias("s"))
-        tried = hard.join(pivots, "list").where("root != s").select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct()
-        fresh = _verified(rows, reps, tried, width, percent)
-        if fresh.isEmpty():
-            break
-        links = materialize(links.unionByName(fresh), "jaccard-links")
-        roots = materialize(connected(links, "a", "b"), "jaccard-roots")
-        hard = _unsettled(hard.select("list", "key"), roots)
-    return links, roots, hard
+def _candidate(percent: int) -> Column:
+    """Whether rows x and y of a list leave room for the overlap that they need, and are of different components."""
+    need = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent))
+    return (F.least("x.room", "y.room") >= need) & (F.col("x.root") != F.col("y.root"))
+
+
+def _tried(opened: DataFrame, seed: int, percent: int) -> DataFrame:
+    """Candidates of each member with a few pivots of its list."""
+    pivot = lambda i: F.min(F.struct(F.xxhash64("key", F.lit(seed * PIVOTS + i)).alias("place"), "key", "n", "room", "root"))
+    chosen = opened.groupBy("list").agg(F.array(*[pivot(i) for i in range(PIVOTS)]).alias("pivots"))
+    chosen = chosen.select("list", F.explode(F.array_distinct("pivots")).alias("y"))
+    met = opened.select("list", F.struct("key", "n", "room", "root").alias("x")).join(chosen, "list").where(_candidate(percent))
+    return met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
-def _across(short: DataFrame) -> DataFrame:
-    """Pairs of different components inside each list."""
-    left = short.select("list", F.col("key").alias("a"), F.col("root").alias("r"))
-    right = short.select("list", F.col("key").alias("b"), F.col("root").alias("s"))
-    return left.join(right, "list").where("a < b and r != s").select("a", "b").distinct()
+def _across(opened: DataFrame, percent: int) -> DataFrame:
+    """All candidates of different components."""
+    both = [opened.select("list", F.struct("key", "n", "room", "root").alias(c)) for c in "xy"]
+    met = both[0].join(both[1], "list").where(F.col("x.key") < F.col("y.key")).where(_candidate(percent))
+    return met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
 
 
 def _keyed(rows: DataFrame, text: str, width: int) -> DataFrame:

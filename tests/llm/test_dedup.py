@@ -52,10 +52,11 @@ def jaccard_components(texts):
     return {k: (len(sets[k]), root_of(parent, k)) for k in sets}
 
 
-@pytest.mark.parametrize(("frequent", "short"), [(64, 64), (2, 2)])
-def test_jaccard_equals_brute_force(docs, texts, monkeypatch, frequent, short):
+@pytest.mark.parametrize(("frequent", "short", "long"), [(64, 64, 256), (2, 2, 256), (2, 2, 16)])
+def test_jaccard_equals_brute_force(docs, texts, monkeypatch, frequent, short, long):
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard, "SHORT_LIST", short)
+    monkeypatch.setattr(jaccard, "LONG", long)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.components(docs).collect()}
     assert got == jaccard_components(texts)
 
