@@ -1,4 +1,7 @@
-"""Bit tables of a fixed size that tell tasks what may be wanted: some false alarms, no misses."""
+"""Bit tables of a fixed size that tell tasks what may be wanted: some false alarms, no misses.
+
+Defined results: nulls may always be wanted; empty tables want nothing; repeated values count as one.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm import textvec as tv
+from gneiss.llm.storage import released
 
 BITS = 1 << 26
 
@@ -32,7 +36,7 @@ def build(values: DataFrame) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(table).tobytes(), 1)], pa.binary())], ["bits"])
 
     total = np.zeros(BITS // 8, dtype=np.uint8)
-    for row in values.select(F.col(values.columns[0]).cast("long")).coalesce(8).mapInArrow(fold, "bits binary").toLocalIterator():
+    for row in values.select(F.col(values.columns[0]).cast("long")).coalesce(8).mapInArrow(released(fold), "bits binary").toLocalIterator():
         total |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
     return zlib.compress(total.tobytes(), 1)
 
@@ -58,7 +62,7 @@ def split(rows: DataFrame, column: str, packed: bytes, held: bool) -> DataFrame:
             if out.num_rows:
                 yield out
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(released(run), rows.schema)
 
 
 def repeated(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], parts: int, bits: int, held_limit: int = 400_000) -> bytes:
@@ -113,9 +117,9 @@ def repeated(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.nda
         places = np.unique((v[often] >> shift).astype(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.diff(places, prepend=0).astype("<u4").tobytes(), 1)], pa.binary())], ["bits"])
 
-    sent = rows.mapInArrow(send, "range int, blob binary")
+    sent = rows.mapInArrow(released(send), "range int, blob binary")
     table = np.zeros(1 << bits, dtype=bool)
-    for row in sent.repartitionById(parts, F.col("range")).mapInArrow(gather, "bits binary").toLocalIterator():
+    for row in sent.repartitionById(parts, F.col("range")).mapInArrow(released(gather), "bits binary").toLocalIterator():
         table[np.cumsum(np.frombuffer(zlib.decompress(row["bits"]), "<u4"), dtype=np.int64)] = True
     return zlib.compress(np.packbits(table).tobytes(), 1)
 

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from gneiss.llm.storage import released
+
 #: Entries of each of the two generations of a worker's tables.
 TABLE_LIMIT = 500_000
 #: Chunks longer than this are encoded but not kept.
@@ -114,6 +116,10 @@ class ForcedBoundaryBpe:
         self.space = self.stand_in[32]
         self.chunks, self.fragments = Table(), Table()
 
+    def forget(self) -> None:
+        """Empty the tables, which a task leaves behind in its worker."""
+        self.chunks, self.fragments = Table(), Table()
+
     def cut(self, piece: str) -> list[str]:
         """A pre-token (in stand-in letters), split at every certain boundary."""
         if self.joined.issuperset(zip(piece, piece[1:], strict=False)):
@@ -204,7 +210,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") ->
             packed = [model.encode_packed(t) for t in _texts(batch.column(text))]
             yield pa.RecordBatch.from_arrays([*batch.columns, _id_lists(packed)], [*batch.schema.names, into])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -219,7 +225,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", into: str = "decoded"
             out = [model.decode(x.as_py() or []) for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, into])
 
-    return tokens.mapInArrow(run, schema)
+    return tokens.mapInArrow(released(run), schema)
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -240,5 +246,6 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 columns.append(_id_lists(packed))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        model.forget()
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(released(run), schema)

@@ -50,11 +50,11 @@ FREQUENT = 64
 FREQUENT_KEPT = 1 << 20
 #: Lists of rare tokens up to this length are compared pair by pair; longer ones, as tokens beyond FREQUENT_KEPT may have, are treated as those of frequent tokens.
 SHORT_LIST = 128
-#: Sets of up to so many tokens are indexed by combinations of frequent tokens, larger ones by single ones.
-LONG = 256
+#: Sets of up to so many tokens are indexed by combinations of frequent tokens, larger ones by single ones: a set then has at most four times as many entries as tokens.
+LONG = 64
 #: Bytes of text for each range of tokens, at most.
 RANGE_BYTES = 32 << 20
-#: Pivots of a list in each round.
+#: Pivots of a list in later rounds; the first has one, as it joins most.
 PIVOTS = 6
 #: Tokens that a task holds before it sends its runs.
 HELD_TOKENS = 1_000_000
@@ -436,7 +436,7 @@ def _candidate(percent: int) -> Column:
 def _tried(opened: DataFrame, seed: int, percent: int) -> DataFrame:
     """Candidates of each member with a few pivots of its list."""
     pivot = lambda i: F.min(F.struct(F.xxhash64("key", F.lit(seed * PIVOTS + i)).alias("place"), "key", "n", "room", "root"))
-    chosen = opened.groupBy("list").agg(F.array(*[pivot(i) for i in range(PIVOTS)]).alias("pivots"))
+    chosen = opened.groupBy("list").agg(F.array(*[pivot(i) for i in range(PIVOTS if seed > 1 else 1)]).alias("pivots"))
     chosen = chosen.select("list", F.explode(F.array_distinct("pivots")).alias("y"))
     met = opened.select("list", F.struct("key", "n", "room", "root").alias("x")).join(chosen, "list").where(_candidate(percent))
     return met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()

@@ -228,8 +228,8 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the removed passages; texts are cut at word borders."""
-    gone = passages(docs, key, text).where("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
-    joined = docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+    gone = passages(docs, key, text).where("removed").groupBy(F.col("doc_id").alias("_gneiss_id")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_gneiss_spans"))
+    joined = docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col("_gneiss_id")), "left").drop("_gneiss_id")
     at, names = docs.columns.index(text), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm import textvec as tv
+from gneiss.llm.storage import released
 
 PER_CLASS = 1500
 TRAIN_LINES = 32
@@ -268,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> LineF
                     out.append(lines.features[a : min(b, a + TRAIN_LINES)].astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([keys, quality, pa.array(out, pa.binary())], ["id", "quality", "features"])
 
-    rows = texts.mapInArrow(run, "id long, quality int, features binary").collect()
+    rows = texts.mapInArrow(released(run), "id long, quality int, features binary").collect()
     rows = sorted({r["id"]: r for r in sorted(rows, key=lambda r: (r["id"], bytes(r["features"])))}.values())
     return LineField.fit([np.frombuffer(r["features"], "<f4").reshape(-1, FEATURES).astype(float) for r in rows], [r["quality"] for r in rows])
 
@@ -287,7 +288,7 @@ def assess(docs: DataFrame, field: LineField, key: str = "doc_id", text: str = "
                 columns += [pa.array(v.content_words.astype(np.int64)), pa.array(v.lines.base_failed), pa.array(v.kept)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.rows), *columns], [key, *names, "n_content_words", "base_failed", "kept"])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(released(run), schema)
 
 
 def keep_good(docs: DataFrame, field: LineField, text: str = "text") -> DataFrame:
@@ -299,4 +300,4 @@ def keep_good(docs: DataFrame, field: LineField, text: str = "text") -> DataFram
             for part in tv.slices(batch.column(at)):
                 yield batch.slice(part.first, part.rows).filter(pa.array(judge(part, field).kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

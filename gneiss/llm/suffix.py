@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from gneiss.llm import bitfilter
 from gneiss.llm import textvec as tv
-from gneiss.llm.storage import materialize
+from gneiss.llm.storage import materialize, released
 
 LENGTH = 200
 K = 50
@@ -36,7 +36,7 @@ ANCHOR_BITS = 27
 #: Bytes of contexts that a task holds before it sends them.
 HELD_BYTES = 4 << 20
 #: Bytes of contexts that are sorted at a time (a larger group of one anchor is sorted whole).
-SORT_BYTES = 1_500_000
+SORT_BYTES = 400_000
 _U = np.uint64
 
 
@@ -242,7 +242,7 @@ def find_contexts(docs: DataFrame, parts: int, table: bytes) -> DataFrame:
                     size = 0
         yield from contexts()
 
-    return docs.select("text").mapInArrow(run, FOUND)
+    return docs.select("text").mapInArrow(released(run), FOUND)
 
 
 def mark_repeats(contexts: DataFrame, parts: int) -> DataFrame:
@@ -299,7 +299,7 @@ def mark_repeats(contexts: DataFrame, parts: int) -> DataFrame:
             yield send(list(settle(held)))
 
     rows = contexts.where("body is not null").select("range", "context", "anchor", "twice", "inner", "body")
-    return rows.repartitionById(parts, F.col("range")).mapInArrow(run, "context binary, spans array<int>")
+    return rows.repartitionById(parts, F.col("range")).mapInArrow(released(run), "context binary, spans array<int>")
 
 
 def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -326,7 +326,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
                 out.append(np.stack([pairs[heads, 0], stops], axis=1).reshape(-1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["key", "spans"])
 
-    return merged.mapInArrow(unite, "key binary, spans array<long>")
+    return merged.mapInArrow(released(unite), "key binary, spans array<long>")
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
@@ -334,13 +334,13 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             keys = [hashlib.blake2b((t.as_py() or "").encode(), digest_size=16).digest() for t in batch.column(text)]
             marks = [int.from_bytes(k[:8], "little", signed=True) for k in keys]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary()), pa.array(marks, pa.int64())], [*batch.schema.names, "_key", "_mark"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary()), pa.array(marks, pa.int64())], [*batch.schema.names, "_gneiss_key", "_gneiss_mark"])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(None).cast("binary").alias("_key"), F.lit(None).cast("long").alias("_mark")).schema)
+    return docs.mapInArrow(released(run), docs.select("*", F.lit(None).cast("binary").alias("_gneiss_key"), F.lit(None).cast("long").alias("_gneiss_mark")).schema)
 
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``spans`` (null: nothing repeats).
+    """``docs`` with a column ``_gneiss_spans`` (null: nothing repeats), the last.
 
     Only texts that may have spans, by a bit table over their keys, take part in the join.
     """
@@ -351,11 +351,12 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
             out = [int.from_bytes(k.as_py()[:8], "little", signed=True) for k in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["mark"])
 
-    table = bitfilter.build(spans.select("key").mapInArrow(marks, "mark long"))
+    table = bitfilter.build(spans.select("key").mapInArrow(released(marks), "mark long"))
     keyed = _keyed(docs, text)
-    some = bitfilter.split(keyed, "_mark", table, True).join(spans.withColumnRenamed("key", "_key"), "_key", "left")
-    rest = bitfilter.split(keyed, "_mark", table, False).withColumn("spans", F.lit(None).cast("array<long>"))
-    return some.select(*rest.columns).unionByName(rest).drop("_key", "_mark")
+    found = spans.select(F.col("key").alias("_gneiss_key"), F.col("spans").alias("_gneiss_spans"))
+    some = bitfilter.split(keyed, "_gneiss_mark", table, True).join(found, "_gneiss_key", "left")
+    rest = bitfilter.split(keyed, "_gneiss_mark", table, False).withColumn("_gneiss_spans", F.lit(None).cast("array<long>"))
+    return some.select(*rest.columns).unionByName(rest).drop("_gneiss_key", "_gneiss_mark")
 
 
 def _cut(raw: bytes, spans: list[int] | None) -> bytes:
@@ -383,7 +384,7 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     head = rows.select("doc_id").schema.simpleString()[len("struct<") : -1].replace(":", " ")
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, f"{head}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.select("doc_id", "text", "_gneiss_spans").mapInArrow(released(run), f"{head}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -398,4 +399,4 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
             columns = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.select(*names, "spans").mapInArrow(run, docs.schema)
+    return rows.select(*names, "_gneiss_spans").mapInArrow(released(run), docs.schema)
