@@ -17,6 +17,9 @@ from gneiss.llm import textvec as tv
 from gneiss.llm.storage import released
 
 BITS = 1 << 26
+#: Bits of a hash that are exchanged to find repeated ones.
+HASH_BITS = 40
+_U = np.uint64
 
 
 def _places(values: np.ndarray) -> np.ndarray:
@@ -65,27 +68,41 @@ def split(rows: DataFrame, column: str, packed: bytes, held: bool) -> DataFrame:
     return rows.mapInArrow(released(run), rows.schema)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Ascending values of HASH_BITS bits, as bytes of their differences."""
+    steps = np.diff(values, prepend=_U(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : HASH_BITS // 8]
+    return zlib.compress(np.ascontiguousarray(steps.T).tobytes(), 1)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(HASH_BITS // 8, -1)
+    wide = np.zeros((raw.shape[1], 8), dtype=np.uint8)
+    wide[:, : HASH_BITS // 8] = raw.T
+    return np.cumsum(wide.reshape(-1).view("<u8"), dtype=np.uint64)
+
+
 def repeated(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], parts: int, bits: int, held_limit: int = 400_000) -> bytes:
     """A table of 2 ** bits bits, by the first bits, of the 64-bit values that occur at least twice in all rows.
 
-    Tasks exchange sorted runs by ranges of the value; a task's own repeats are merged before that.
+    Tasks exchange sorted runs of the first HASH_BITS bits by ranges; a task's own repeats are merged before that.
     """
-    shift = np.uint64(64 - bits)
+    shift, low = _U(HASH_BITS - bits), _U(64 - HASH_BITS)
 
     def ranges(values: np.ndarray) -> np.ndarray:
-        return ((values >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        return ((values >> _U(HASH_BITS - 32)) * _U(parts) >> _U(32)).astype(np.int64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def runs() -> pa.RecordBatch:
-            values = np.sort(np.concatenate(held))
+            values = np.sort(np.concatenate(held)) >> low
             heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-            twice = (np.diff(np.append(heads, len(values))) > 1).astype(np.uint8)
+            twice = np.diff(np.append(heads, len(values))) > 1
             values = values[heads]
             bounds = np.searchsorted(ranges(values), np.arange(parts + 1))
-            blobs = [values[a:b].tobytes() + twice[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(parts), pa.int32()), pa.array(blobs, pa.binary())], ["range", "blob"])
+            cut = list(zip(bounds[:-1], bounds[1:], strict=True))
+            columns = [pa.array([_packed(values[a:b]) for a, b in cut], pa.binary()), pa.array([_packed(values[a:b][twice[a:b]]) for a, b in cut], pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(parts), pa.int32()), *columns], ["range", "once", "twice"])
 
         for batch in batches:
             for own in hashes(batch):
@@ -98,26 +115,14 @@ def repeated(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.nda
             yield runs()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, twice = [], []
-        for batch in batches:
-            for blob in batch.column("blob"):
-                raw = blob.as_py()
-                m = len(raw) // 9
-                values.append(np.frombuffer(raw, "<u8", m))
-                twice.append(np.frombuffer(raw, np.uint8, m, 8 * m))
+        values = [_unpacked(x.as_py()) for batch in batches for c in ("once", "twice") for x in batch.column(c)]
         if not values:
             return
-        v, t = np.concatenate(values), np.concatenate(twice)
-        order = np.argsort(v)
-        v, t = v[order], t[order]
-        same = v[1:] == v[:-1]
-        often = t > 0
-        often[1:] |= same
-        often[:-1] |= same
-        places = np.unique((v[often] >> shift).astype(np.int64))
+        v = np.sort(np.concatenate(values))
+        places = np.unique((v[1:][v[1:] == v[:-1]] >> shift).astype(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.diff(places, prepend=0).astype("<u4").tobytes(), 1)], pa.binary())], ["bits"])
 
-    sent = rows.mapInArrow(released(send), "range int, blob binary")
+    sent = rows.mapInArrow(released(send), "range int, once binary, twice binary")
     table = np.zeros(1 << bits, dtype=bool)
     for row in sent.repartitionById(parts, F.col("range")).mapInArrow(released(gather), "bits binary").toLocalIterator():
         table[np.cumsum(np.frombuffer(zlib.decompress(row["bits"]), "<u4"), dtype=np.int64)] = True

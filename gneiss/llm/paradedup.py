@@ -1,26 +1,33 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-Paragraphs are lines of ``MIN_LINE`` words or more, and, for passages inside longer lines or across
-them, runs of whole sentences: from every sentence start on, until ``RUN_WORDS`` words are reached.
+Paragraphs are lines of ``MIN_LINE`` words or more, lines of ``LONG_LINE`` words or more being cut
+where content has it (at words of least hash among their neighbours), and windows of ``RUN_WORDS``
+words that no punctuation or line end marks.
+
 Lines get MinHash signatures over their five-word shingles in ``BANDS`` bands of ``ROWS`` values, so
-a pair of similarity 0.75 meets with a probability of 0.99; runs have a single band over their whole
-sequence, so equal ones meet. Passages that no punctuation marks are found by windows of
-``RUN_WORDS`` words: anchors are those with the least hash among all windows of some ``SHARED``
-consecutive words, so each passage of ``SHARED`` words or more that two documents share has an anchor
-in common. All windows that an anchor stands for are paragraphs, so such a passage is covered from its
-first word to its last. A first pass finds which bands and anchors occur twice at all, in a bit table
-of fixed size; only their paragraphs are exchanged. Colliding lines are verified by their exact Jaccard
-similarity and joined to components. A paragraph that occurs in at least two documents stays where
+a pair of similarity 0.75 meets with a probability of 0.99. Colliding lines are verified by their exact
+Jaccard similarity and joined to components.
+
+Windows are compared for equality. Anchors are those with the least hash among all windows of some
+``SHARED`` consecutive words, so each passage of ``SHARED`` words or more that two documents share has
+an anchor in common. Where the stretch between two anchors does not repeat, a repeated passage begins
+or ends: there all longer stretches from the anchor on, up to the next possible anchor, are compared
+too, so a passage is covered from its first word to its last. (Where a document has a longer passage
+in common with a third one, up to ``SHARED - RUN_WORDS`` words at the ends of the shorter may stay.)
+
+Two passes find which bands, anchors and stretches occur twice at all, in bit tables of a fixed size;
+only their paragraphs are exchanged. A paragraph that occurs in at least two documents stays where
 (doc_id, position) is smallest, and goes from all other places.
 
 Defined results: a null text has no paragraphs; a null id is an id like any other, before all
-others; rows equal in id and text count as one document; empty tables give empty results.
+others; rows equal in id and text count as one document; empty tables give empty results; other
+columns are passed on or ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +37,13 @@ from pyspark.sql import functions as F
 from gneiss.llm import bitfilter
 from gneiss.llm import textvec as tv
 from gneiss.llm.bands import united
-from gneiss.llm.storage import materialize
+from gneiss.llm.storage import materialize, released
 
 WIDTH = 5
 PERCENT = 75
 MIN_LINE = 20
+#: Lines from so many words on are cut into pieces.
+LONG_LINE = 80
 RUN_WORDS = 24
 #: Every run of so many words that documents share is found.
 SHARED = 50
@@ -44,8 +53,7 @@ _U = np.uint64
 _RNG = np.random.default_rng(77)
 _ODD = _RNG.integers(1, 1 << 63, (BANDS * ROWS,), dtype=np.uint64) * _U(2) + _U(1)
 _SEQ = [0xA24BAED4963EE407, 0x9FB21C651E98DF25]
-_END = np.zeros(256, dtype=bool)
-_END[list(b".!?")] = True
+_TOP = _U(0xFFFFFFFFFFFFFFFF)
 
 
 def _sliding(values: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
@@ -59,49 +67,48 @@ def _sliding(values: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
 
 
 class Paragraphs:
-    """Lines, sentence runs and windows of a slice, as word ranges [first, last)."""
+    """Lines, windows and stretches of a slice, as word ranges [first, last)."""
 
     def __init__(self, part: tv.Slice) -> None:
         data = part.data
         self.words = w = tv.words(part, tv.BLANK_SEPARATED)
         n = len(w.starts)
         self.row = np.repeat(np.arange(part.rows), np.diff(w.borders))
-        feeds = np.concatenate([[0], np.cumsum(data == 10)])
-        line = np.ones(n, dtype=bool)
-        if n:
-            line[1:] = (feeds[w.starts[1:]] != feeds[w.ends[:-1]]) | (self.row[1:] != self.row[:-1])
-        sentence = line.copy()
-        if n:
-            sentence[1:] |= _END[data[w.ends[:-1] - 1]]
-        row_end = w.borders[1:][self.row] if n else np.empty(0, np.int64)
-        first = np.flatnonzero(line)
-        last = np.append(first[1:], n)[: len(first)]
-        long = last - first >= MIN_LINE
-        self.line_first, self.line_last = first[long], last[long]
-        starts = np.flatnonzero(sentence)
-        stops = np.append(starts, n)
-        at = np.minimum(np.searchsorted(stops, starts + RUN_WORDS), len(stops) - 1)
-        ends = stops[at]
-        limit = row_end[starts]
-        good = (starts + RUN_WORDS <= limit) & (ends <= limit)
-        starts, ends = starts[good], ends[good]
-        self.run_first, self.run_last = starts, ends
+        self.row_first = w.borders[:-1][self.row] if n else np.empty(0, np.int64)
+        self.row_end = w.borders[1:][self.row] if n else np.empty(0, np.int64)
         # hashes of word sequences by position-independent polynomials, two for 128 bits
         self.sums = []
         for base in _SEQ:
             up = tv._powers(base, n + 1)
             self.sums.append((np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hashes * up[:n], dtype=np.uint64)]), tv._powers(pow(base, -1, 1 << 64), n + 1)))
-        self.windows, self.anchors = self._anchors(n, row_end)
-        full = max(n - WIDTH + 1, 0)
-        grams = np.zeros(full, dtype=np.uint64)
-        for j in range(WIDTH):
-            grams += w.hashes[j : j + full] * tv._LANE[j]
-        self.grams = tv.mix(grams)
+        self.windows, self.anchors = self._anchors(n)
+        self.data = data
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lines and pieces of long lines that have MIN_LINE words or more."""
+        w, n = self.words, len(self.words.starts)
+        feeds = np.concatenate([[0], np.cumsum(self.data == 10)])
+        border = np.ones(n, dtype=bool)
+        if n:
+            border[1:] = (feeds[w.starts[1:]] != feeds[w.ends[:-1]]) | (self.row[1:] != self.row[:-1])
+        first = np.flatnonzero(border)
+        size = np.diff(np.append(first, n))
+        if n > 2 * MIN_LINE:
+            # a word that has the least hash among MIN_LINE words before and after it starts a piece
+            stirred = tv.mix(w.hashes + tv._LANE[1] * np.append(w.hashes[1:], _U(0)))
+            edge = np.full(MIN_LINE, _TOP)
+            cut = stirred == _sliding(np.concatenate([edge, stirred, edge]), 2 * MIN_LINE + 1, np.minimum)
+            line = np.repeat(np.arange(len(first)), size)
+            at = np.arange(n)
+            border |= cut & (size[line] >= LONG_LINE) & (at - first[line] >= MIN_LINE) & (first[line] + size[line] - at >= MIN_LINE)
+            first = np.flatnonzero(border)
+            size = np.diff(np.append(first, n))
+        return first[size >= MIN_LINE], (first + size)[size >= MIN_LINE]
 
     def keys(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return tuple(tv.mix((c[last] - c[first]) * down[first] + (last - first).astype(np.uint64)) for c, down in self.sums)
 
-    def _anchors(self, n: int, row_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _anchors(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The hash of the window at each word, and the windows that are least among those of some SHARED words of a row."""
         if n < SHARED:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -109,105 +116,143 @@ class Paragraphs:
         values, span = self.keys(first, first + RUN_WORDS)[0], SHARED - RUN_WORDS + 1
         least = _sliding(values, span, np.minimum)
         starts = np.arange(n - SHARED + 1)
-        least[row_end[starts] < starts + SHARED] = 0
+        least[self.row_end[starts] < starts + SHARED] = 0
         edge = np.zeros(span - 1, dtype=np.uint64)
         highest = _sliding(np.concatenate([edge, least, edge]), span, np.maximum)
         return values, np.flatnonzero((values == highest) & (highest > 0))
 
-    def around(self, anchors: np.ndarray) -> np.ndarray:
-        """The windows that share SHARED words of a row with one of the anchors."""
-        reach = SHARED - RUN_WORDS
-        change = np.zeros(len(self.windows) + 1, dtype=np.int64)
-        np.add.at(change, np.maximum(anchors - reach, 0), 1)
-        np.add.at(change, np.minimum(anchors + reach + 1, len(self.windows)), -1)
-        first = np.flatnonzero(np.cumsum(change[:-1]) > 0)
-        return first[self.row[first] == self.row[first + RUN_WORDS - 1]]
-
-    def bands(self) -> np.ndarray:
+    def between(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors with a next one so near that a shared passage may hold both, and the stretches over the two."""
+        a = self.anchors
+        at = np.flatnonzero((np.diff(a) <= SHARED - RUN_WORDS + 1) & (self.row[a[1:]] == self.row[a[:-1]])) if len(a) else np.empty(0, np.int64)
+        return at, a[at], a[at + 1] + RUN_WORDS
+
+    def repeated(self, table: bitfilter.RepeatTable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows and stretches to compare, (first, last), by the first table; then those around ends of repeated passages."""
+        often = table.may_repeat(self.windows[self.anchors])
+        at, first, last = self.between()
+        linked = table.may_repeat(self.keys(first, last)[0])
+        after, before = np.zeros(len(self.anchors), dtype=bool), np.zeros(len(self.anchors), dtype=bool)
+        after[at], before[at + 1] = linked, linked
+        own = self.anchors[often]
+        wide = linked & (last - first >= 2 * RUN_WORDS)  # windows that do not overlap
+        step = np.arange(1, SHARED - RUN_WORDS + 1)
+        x, y = self.anchors[often & ~before], self.anchors[often & ~after] + RUN_WORDS
+        left, right = (x[:, None] - step).reshape(-1), (y[:, None] + step).reshape(-1)
+        x, y = np.repeat(x, len(step)), np.repeat(y, len(step))
+        inside, within = left >= (self.row_first[x] if len(x) else 0), right <= (self.row_end[y - 1] if len(y) else 0)
+        x, y = x[inside], y[within]
+        return np.append(own, first[wide]), np.append(own + RUN_WORDS, last[wide]), np.append(left[inside], y - RUN_WORDS), np.append(x + RUN_WORDS, right[within])
+
+    def bands(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """(lines, BANDS) values; a band holds ROWS least values of differently stirred shingle hashes."""
-        if not len(self.line_first):
+        if not len(first):
             return np.empty((0, BANDS), dtype=np.uint64)
-        pick = np.stack([self.line_first, self.line_last - WIDTH + 1], axis=1).reshape(-1)
-        padded = np.append(self.grams, _U(0xFFFFFFFFFFFFFFFF))
-        out = np.empty((len(self.line_first), BANDS), dtype=np.uint64)
+        # only words of the lines are stirred
+        sizes = last - first - WIDTH + 1
+        heads = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(first - heads[:-1], sizes) + np.arange(heads[-1])
+        grams = self.grams()[at]
+        out = np.empty((len(first), BANDS), dtype=np.uint64)
         for b in range(BANDS):
-            value = np.full(len(self.line_first), b + 1, dtype=np.uint64)
+            value = np.full(len(first), b + 1, dtype=np.uint64)
             for r in range(ROWS):
-                stirred = padded * _ODD[b * ROWS + r]
+                stirred = grams * _ODD[b * ROWS + r]
                 stirred ^= stirred >> _U(29)
-                least = np.minimum.reduceat(stirred, pick)[::2]
-                value = tv.mix(value * _U(0x9E3779B97F4A7C15) + least)
+                value = tv.mix(value * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(stirred, heads[:-1]))
             out[:, b] = value
         return out
 
+    def grams(self) -> np.ndarray:
+        full = max(len(self.words.hashes) - WIDTH + 1, 0)
+        grams = np.zeros(full, dtype=np.uint64)
+        for j in range(WIDTH):
+            grams += self.words.hashes[j : j + full] * tv._LANE[j]
+        return tv.mix(grams)
 
-def _band_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+
+def _paragraphs(batch: pa.RecordBatch) -> Iterator[tuple[tv.Slice, Paragraphs]]:
     for part in tv.slices(batch.column(batch.schema.get_field_index("text"))):
-        p = Paragraphs(part)
-        yield p.bands().reshape(-1)
-        yield p.keys(p.run_first, p.run_last)[0]
+        yield part, Paragraphs(part)
+
+
+def _first_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for _, p in _paragraphs(batch):
+        yield p.bands(*p.lines()).reshape(-1)
         yield p.windows[p.anchors]
+        yield p.keys(*p.between()[1:])[0]
+
 
+def _end_hashes(table: bytes) -> Callable[[pa.RecordBatch], Iterator[np.ndarray]]:
+    def run(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        repeats = bitfilter.RepeatTable(table, REPEAT_BITS)
+        for _, p in _paragraphs(batch):
+            yield p.keys(*p.repeated(repeats)[2:])[0]
+
+    return run
 
-UNITS = "doc_id long, doc binary, start long, stop long, node binary, bands array<long>, shingles array<long>"
 
+UNITS = "doc_id long, doc long, start int, stop int, n1 long, n2 long, bands array<long>, shingles array<long>"
 
-def find_units(docs: DataFrame, table: bytes) -> DataFrame:
-    """Paragraphs with a band that may occur twice; bands and shingles are null for runs and windows."""
+
+def find_units(docs: DataFrame, table: bytes, ends: bytes) -> DataFrame:
+    """Paragraphs that may occur twice; bands and shingles are null for all but lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeats = bitfilter.RepeatTable(table, REPEAT_BITS)
+        repeats, ended = bitfilter.RepeatTable(table, REPEAT_BITS), bitfilter.RepeatTable(ends, REPEAT_BITS)
         for batch in batches:
             ids = batch.column(0)
-            for part in tv.slices(batch.column(1)):
-                p = Paragraphs(part)
-                bands = p.bands()
+            for part, p in _paragraphs(batch):
+                la, lb = p.lines()
+                bands = p.bands(la, lb)
                 often = repeats.may_repeat(bands.reshape(-1)).reshape(bands.shape)
-                lines = np.flatnonzero(often.any(axis=1))
-                one, two = p.keys(p.run_first, p.run_last)
-                runs = np.flatnonzero(repeats.may_repeat(one))
-                la, lb = p.line_first[lines], p.line_last[lines]
-                near = p.around(p.anchors[repeats.may_repeat(p.windows[p.anchors])])
-                a, b = np.concatenate([la, p.run_first[runs], near]), np.concatenate([lb, p.run_last[runs], near + RUN_WORDS])
+                lines = often.any(axis=1)
+                la, lb, bands, often = la[lines], lb[lines], bands[lines], often[lines]
+                wa, wb, ea, eb = p.repeated(repeats)
+                real = ended.may_repeat(p.keys(ea, eb)[0])
+                a, b = np.concatenate([la, wa, ea[real]]), np.concatenate([lb, wb, eb[real]])
                 if not len(a):
                     continue
                 k1, k2 = p.keys(a, b)
-                # a line, a run and a window of the same words are different paragraphs
-                kind = np.repeat(np.frombuffer(b"LRW", np.uint8), [len(lines), len(runs), len(near)])
-                node = np.concatenate([np.stack([k1, k2], axis=1).astype("<u8").view(np.uint8).reshape(-1, 16), kind[:, None]], axis=1)
+                k2[: len(la)] ^= _U(1)  # a line and a window of the same words are different paragraphs
                 row = p.row[a]
                 used, at = np.unique(row, return_inverse=True)
-                own = [hashlib.blake2b(part.data[part.offsets[r] : part.offsets[r + 1]].tobytes(), digest_size=16).digest() for r in used]
-                none = pa.nulls(len(a) - len(lines), pa.list_(pa.int64()))
+                own = [int.from_bytes(hashlib.blake2b(part.data[part.offsets[r] : part.offsets[r + 1]].tobytes(), digest_size=8).digest(), "little", signed=True) for r in used]
+                none = pa.nulls(len(a) - len(la), pa.list_(pa.int64()))
+                grams = p.grams() if len(la) else None
                 columns = [
-                    ids.take(pa.array(row + part.first)), pa.array(own, pa.binary()).take(pa.array(at)),
-                    pa.array(p.words.starts[a] - part.offsets[row]), pa.array(p.words.ends[b - 1] - part.offsets[row]),
-                    pa.FixedSizeBinaryArray.from_buffers(pa.binary(17), len(node), [None, pa.py_buffer(node.tobytes())]).cast(pa.binary()),
-                    pa.concat_arrays([pa.array([bands[i][often[i]].view(np.int64) for i in lines], pa.list_(pa.int64())), none]),
-                    pa.concat_arrays([pa.array([tv.distinct(p.grams[x : y - WIDTH + 1]).view(np.int64) for x, y in zip(la, lb, strict=True)], pa.list_(pa.int64())), none]),
+                    ids.take(pa.array(row + part.first)), pa.array(own, pa.int64()).take(pa.array(at)),
+                    pa.array((p.words.starts[a] - part.offsets[row]).astype(np.int32)), pa.array((p.words.ends[b - 1] - part.offsets[row]).astype(np.int32)),
+                    pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
+                    pa.concat_arrays([pa.array([x[y].view(np.int64) for x, y in zip(bands, often, strict=True)], pa.list_(pa.int64())), none]),
+                    pa.concat_arrays([pa.array([tv.distinct(grams[x : y - WIDTH + 1]).view(np.int64) for x, y in zip(la, lb, strict=True)], pa.list_(pa.int64())), none]),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in UNITS.split(", ")])
 
-    return docs.mapInArrow(run, UNITS)
+    return docs.mapInArrow(released(run), UNITS)
 
 
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each occurrence of a paragraph that several documents have: doc_id, doc, start, stop (bytes), root, first_doc_id, removed."""
+    """Each occurrence of a paragraph that several documents have: doc_id, doc (a hash of the text), start, stop (bytes), first_doc_id, removed."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    units = materialize(find_units(rows, bitfilter.repeated(rows.select("text"), _band_hashes, parts, REPEAT_BITS)), "paragraphs")
-    lines = units.where("bands is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
+    table = bitfilter.repeated(rows.select("text"), _first_hashes, parts, REPEAT_BITS)
+    ends = bitfilter.repeated(rows.select("text"), _end_hashes(table), parts, REPEAT_BITS)
+    units = materialize(find_units(rows, table, ends), "paragraphs")
+    node = F.struct("n1", "n2").alias("node")
+    lines = units.where("bands is not null").groupBy(node).agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
     lines = materialize(lines, "paragraph-lines")
     posted = lines.select("node", F.explode(F.array_distinct("bands")).alias("band"))
     roots = united(posted, lambda wanted: lines.join(wanted, "node", "left_semi").select("node", "shingles"), PERCENT)
     columns = ["doc_id", "doc", "start", "stop"]
-    placed = units.where("bands is not null").select(*columns, "node").join(roots, "node", "left").select(*columns, F.coalesce("root", "node").alias("root"))
-    placed = placed.unionByName(units.where("bands is null").select(*columns, F.col("node").alias("root")))
-    document, place = F.struct("doc_id", "doc"), F.struct("doc_id", "doc", "start", "stop")
-    groups = placed.groupBy("root").agg(F.min(document).alias("x"), F.max(document).alias("y"), F.min(place).alias("keeper")).where("x != y")
-    out = placed.join(groups.select("root", "keeper"), "root")
-    return out.select("doc_id", "doc", "start", "stop", "root", F.col("keeper.doc_id").alias("first_doc_id"), (place != F.col("keeper")).alias("removed"))
+    named = roots.select(F.col("node.n1").alias("n1"), F.col("node.n2").alias("n2"), F.col("root.n1").alias("r1"), F.col("root.n2").alias("r2"))
+    placed = units.where("bands is not null").select(*columns, "n1", "n2").join(named, ["n1", "n2"], "left").select(*columns, F.coalesce("r1", "n1").alias("n1"), F.coalesce("r2", "n2").alias("n2"))
+    placed = placed.unionByName(units.where("bands is null").select(*columns, "n1", "n2"))
+    document, place = F.xxhash64("doc_id", "doc"), F.struct("doc_id", "doc", "start")
+    groups = placed.groupBy("n1", "n2").agg(F.min(document).alias("x"), F.max(document).alias("y"), F.min(place).alias("keeper")).where("x != y")
+    out = placed.join(groups.select("n1", "n2", "keeper"), ["n1", "n2"])
+    return out.select(*columns, F.col("keeper.doc_id").alias("first_doc_id"), (~place.eqNullSafe(F.col("keeper"))).alias("removed"))
 
 
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
