@@ -1,8 +1,7 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-Paragraphs are lines of ``MIN_LINE`` words or more, lines of ``LONG_LINE`` words or more being cut
-where content has it (at words of least hash among their neighbours), and windows of ``RUN_WORDS``
-words that no punctuation or line end marks.
+Paragraphs are lines of ``MIN_LINE`` words or more, and windows of ``RUN_WORDS`` words that no
+punctuation or line end marks.
 
 Lines get MinHash signatures over their five-word shingles in ``BANDS`` bands of ``ROWS`` values, so
 a pair of similarity 0.75 meets with a probability of 0.99. Colliding lines are verified by their exact
@@ -42,8 +41,6 @@ from gneiss.llm.storage import materialize, released
 WIDTH = 5
 PERCENT = 75
 MIN_LINE = 20
-#: Lines from so many words on are cut into pieces.
-LONG_LINE = 80
 RUN_WORDS = 24
 #: Every run of so many words that documents share is found.
 SHARED = 50
@@ -53,7 +50,6 @@ _U = np.uint64
 _RNG = np.random.default_rng(77)
 _ODD = _RNG.integers(1, 1 << 63, (BANDS * ROWS,), dtype=np.uint64) * _U(2) + _U(1)
 _SEQ = [0xA24BAED4963EE407, 0x9FB21C651E98DF25]
-_TOP = _U(0xFFFFFFFFFFFFFFFF)
 
 
 def _sliding(values: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
@@ -85,7 +81,7 @@ class Paragraphs:
         self.data = data
 
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
-        """Lines and pieces of long lines that have MIN_LINE words or more."""
+        """Lines of MIN_LINE words or more."""
         w, n = self.words, len(self.words.starts)
         feeds = np.concatenate([[0], np.cumsum(self.data == 10)])
         border = np.ones(n, dtype=bool)
@@ -93,16 +89,6 @@ class Paragraphs:
             border[1:] = (feeds[w.starts[1:]] != feeds[w.ends[:-1]]) | (self.row[1:] != self.row[:-1])
         first = np.flatnonzero(border)
         size = np.diff(np.append(first, n))
-        if n > 2 * MIN_LINE:
-            # a word that has the least hash among MIN_LINE words before and after it starts a piece
-            stirred = tv.mix(w.hashes + tv._LANE[1] * np.append(w.hashes[1:], _U(0)))
-            edge = np.full(MIN_LINE, _TOP)
-            cut = stirred == _sliding(np.concatenate([edge, stirred, edge]), 2 * MIN_LINE + 1, np.minimum)
-            line = np.repeat(np.arange(len(first)), size)
-            at = np.arange(n)
-            border |= cut & (size[line] >= LONG_LINE) & (at - first[line] >= MIN_LINE) & (first[line] + size[line] - at >= MIN_LINE)
-            first = np.flatnonzero(border)
-            size = np.diff(np.append(first, n))
         return first[size >= MIN_LINE], (first + size)[size >= MIN_LINE]
 
     def keys(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
