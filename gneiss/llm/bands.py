@@ -2,12 +2,12 @@
 
 1. In a band every node is paired with the band's smallest and largest node.
 2. Bands of up to ``SHORT_BAND`` nodes that still hold several components are compared pair by pair
-   across components. Longer ones are cut by longer signatures: nodes stay together where two further
-   MinHash values agree as well, in one of ``FINER`` trials at least, as they do with a probability of
-   0.998 at a similarity of 0.75; what results is compared likewise.
-3. Where long ones are open still, all nodes are held against a few pivots of other components,
-   chosen by a hash that changes each round, as long as that joins many; then the rest is compared
-   pair by pair across components.
+   across components.
+3. The nodes of longer ones are indexed by the shingles of their prefixes, rare ones first: sets as
+   similar as asked for share one of the first n - ceil(t * n) + 1 shingles. Two nodes of different
+   components that meet in such a list are compared if the shingles after it leave room for the
+   overlap that they need. So no similar pair of a long band stays apart, and nodes that only share
+   what is common do not meet.
 
 Defined results: repeated rows count once; nodes that meet no other give no rows; empty tables give
 empty results.
@@ -17,18 +17,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.llm.components import connected
 from gneiss.llm.storage import discard, materialize
 
 #: Bands up to this many nodes are compared pair by pair across components.
-SHORT_BAND = 64
-#: Trials by which a longer band is cut.
-FINER = 8
-#: Pivots of a band in each round.
-PIVOTS = 6
+SHORT_BAND = 16
 
 
 def _met(posted: DataFrame) -> DataFrame:
@@ -57,12 +53,19 @@ def _across(listed: DataFrame) -> DataFrame:
     return left.join(right, "band").where("a < b and r != s").select("a", "b")
 
 
-def _tried(listed: DataFrame, seed: int) -> DataFrame:
-    """Pairs of each node with a few pivots of its band that are of other components."""
-    pivot = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(seed * PIVOTS + i)).alias("place"), F.col("node").alias("p"), F.col("root").alias("s")))
-    pivots = listed.groupBy("band").agg(F.array(*[pivot(i) for i in range(PIVOTS)]).alias("chosen")).select("band", F.explode(F.array_distinct("chosen")).alias("c"))
-    met = listed.join(pivots, "band").where("root != c.s")
-    return met.select(F.least("node", "c.p").alias("a"), F.greatest("node", "c.p").alias("b"))
+def _by_prefix(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``nodes`` (node, root) of different components that share a shingle of their prefixes and have room for the overlap they need."""
+    tokens = nodes.join(sets, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    tokens = materialize(tokens, "band-tokens")
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("x"), F.max("root").alias("y"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "token"))
+    ranked = tokens.join(often, "token").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    # a list whose nodes are all in one component has nothing to compare
+    listed = materialize(ranked.where("often > 1 and x != y").select("token", "node", "root", "n", (F.col("n") - F.col("place") + 1).alias("room")), "band-lists")
+    left, right = (listed.select("token", F.struct("node", "root", "n", "room").alias(c)) for c in "xy")
+    need = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent))
+    fit = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.room", "y.room") >= need)
+    return left.join(right, "token").where(fit).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def united(posted: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
@@ -77,37 +80,20 @@ def united(posted: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent:
     links = materialize(verified(_ends(met).distinct(), sets, percent), "band-links")
     roots = materialize(connected(links, "a", "b"), "band-roots")
 
-    def settle(pairs: DataFrame) -> bool:
+    def settle(pairs: DataFrame) -> None:
         nonlocal links, roots
         fresh = materialize(verified(pairs.distinct(), sets, percent), "band-links")
-        if fresh.isEmpty():
-            return False
-        links = materialize(links.unionByName(fresh), "band-links")
-        roots = materialize(connected(links, "a", "b"), "band-roots")
-        return True
+        if not fresh.isEmpty():
+            links = materialize(links.unionByName(fresh), "band-links")
+            roots = materialize(connected(links, "a", "b"), "band-roots")
 
     # in a band of three all pairs are tried by now
     opened = _open(met.where("size > 3").select("node", "band", "size"), roots)
     short, long = opened.where(F.col("size") <= SHORT_BAND), opened.where(F.col("size") > SHORT_BAND)
-    if long.isEmpty():
-        settle(_across(short))
-        return roots
-    least = lambda seed: F.array_min(F.transform("shingles", lambda x: F.xxhash64(x, F.lit(seed))))
-    keys = F.array(*[F.xxhash64("band", F.lit(i), least(2 * i), least(2 * i + 1)) for i in range(FINER)])
-    finer = long.select("node", "band", "root").join(sets, "node").select("node", "root", F.explode(keys).alias("band")).distinct()
-    finer = materialize(_met(finer).join(finer, ["node", "band"]), "band-finer")
-    brief = finer.where(F.col("size") <= SHORT_BAND).select("band", "node", "size", "root")
-    settle(_across(short.select("band", "node", "size", "root").unionByName(brief)).unionByName(_ends(finer.where(F.col("size") > SHORT_BAND))))
-    opened, seed, left = _open(finer.where(F.col("size") > SHORT_BAND).select("node", "band", "size"), roots), 0, None
-    while not opened.isEmpty():
-        seed += 1
-        size = opened.count()
-        if left is not None and size > 0.9 * left:
-            settle(_across(opened))
-            break
-        left = size
-        settle(_tried(opened, seed))
-        opened = _open(opened.select("node", "band", "size"), roots)
+    settle(_across(short))
+    long = _open(long.select("node", "band", "size"), roots)
+    if not long.isEmpty():
+        settle(_by_prefix(long.select("node", "root").distinct(), sets, percent))
     return roots
 
 
