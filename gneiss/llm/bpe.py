@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,9 @@ from tokenizers import Tokenizer
 from gneiss.llm.storage import released
 
 #: Entries of each of the two generations of a worker's tables.
-TABLE_LIMIT = 500_000
+TABLE_LIMIT = 150_000
+#: Characters of text that are encoded before a batch is sent on (a longer single text is taken whole).
+SENT_CHARS = 2_000_000
 #: Chunks longer than this are encoded but not kept.
 KEEP_LENGTH = 64
 ASCII_SPACE = " \t\n\r\x0b\x0c"
@@ -88,18 +91,11 @@ class ForcedBoundaryBpe:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        spec = json.loads(self.tokenizer.to_str())
-        if spec["model"]["type"] != "BPE" or (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel":
-            raise ValueError("a byte-level BPE tokenizer file is needed")
         self.stand_in = byte_alphabet()
-        real = {c: b for b, c in self.stand_in.items()}
-        vocabulary = spec["model"]["vocab"]
-        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        size = max([*vocabulary.values(), *added.values()]) + 1
-        self.token_bytes: list[bytes] = [b""] * size
+        words, added = self._vocabulary()
+        self.token_bytes: list[bytes] = [b""] * (max([*(i for _, i in words), *added.values()]) + 1)
         inside = np.zeros((256, 256), dtype=bool)
-        for token, i in vocabulary.items():
-            raw = bytes(real[c] for c in token) if all(c in real for c in token) else token.encode()
+        for raw, i in words:
             self.token_bytes[i] = raw
             codes = np.frombuffer(raw, dtype=np.uint8)
             inside[codes[:-1], codes[1:]] = True
@@ -116,9 +112,14 @@ class ForcedBoundaryBpe:
         self.space = self.stand_in[32]
         self.chunks, self.fragments = Table(), Table()
 
-    def forget(self) -> None:
-        """Empty the tables, which a task leaves behind in its worker."""
-        self.chunks, self.fragments = Table(), Table()
+    def _vocabulary(self) -> tuple[list[tuple[bytes, int]], dict[str, int]]:
+        """(bytes, id) of the model's tokens, and the added tokens."""
+        spec = json.loads(self.tokenizer.to_str())
+        if spec["model"]["type"] != "BPE" or (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel" or spec["normalizer"]:
+            raise ValueError("a byte-level BPE tokenizer file without a normalizer is needed")
+        real = {c: b for b, c in self.stand_in.items()}
+        words = [(bytes(real[c] for c in token) if all(c in real for c in token) else token.encode(), i) for token, i in spec["model"]["vocab"].items()]
+        return words, {t["content"]: t["id"] for t in spec["added_tokens"]}
 
     def cut(self, piece: str) -> list[str]:
         """A pre-token (in stand-in letters), split at every certain boundary."""
@@ -187,6 +188,16 @@ def codec(path: str) -> ForcedBoundaryBpe:
     return ForcedBoundaryBpe(path)
 
 
+def _parts(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about SENT_CHARS bytes of text."""
+    sizes = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False))
+    start, sent = 0, 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(sizes, sent + SENT_CHARS, side="right")))
+        yield batch.slice(start, stop - start)
+        start, sent = stop, int(sizes[stop - 1])
+
+
 def _texts(column: pa.Array) -> Iterator[str | None]:
     for value in column:
         yield value.as_py()
@@ -235,7 +246,7 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = codec(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole, 1)):
             packed = [model.encode_packed(t) for t in _texts(batch.column(1))]
             columns = [
                 batch.column(0), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
@@ -246,6 +257,6 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 columns.append(_id_lists(packed))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
-        model.forget()
+        codec.cache_clear()
 
     return docs.select(key, text).mapInArrow(released(run), schema)
