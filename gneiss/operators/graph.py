@@ -90,23 +90,38 @@ def reach_path(starts: DataFrame, edges: DataFrame, max_hops: int | None = None)
     return found
 
 
+def _to_least(pairs: DataFrame) -> DataFrame:
+    """Each larger neighbour of a node is tied to the least node around that node instead."""
+    both = pairs.unionByName(pairs.select(F.col("low").alias("high"), F.col("high").alias("low"))).select(F.col("high").alias("node"), F.col("low").alias("other"))
+    least = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("least"))
+    return both.where("other > node").join(least, "node").select(F.col("other").alias("high"), F.col("least").alias("low")).distinct()
+
+
+def _to_root(pairs: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours are tied to the least of them."""
+    least = pairs.groupBy("high").agg(F.min("low").alias("least"))
+    tied = pairs.join(least, "high").select(F.col("low").alias("high"), F.col("least").alias("low"))
+    return tied.unionByName(least.select("high", F.col("least").alias("low"))).where("high != low").distinct()
+
+
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each weakly connected component.
 
-    Every node takes the least label around it, then labels jump to their own label's label, so the
-    number of rounds grows with the logarithm of the diameter.
+    Edges are rewritten in two alternating ways until all of them are stars around the smallest
+    node of their component; paths shrink by a constant factor each time, so the number of rounds
+    grows with the logarithm of the diameter. Nodes without edges are components of their own.
     """
-    pairs = _cut(symmetric(edges.where("src != dst")))
-    labels = _cut(nodes.select("node", F.col("node").alias("component")).distinct())
+    ends = edges.where("src != dst")
+    pairs = _cut(ends.select(F.greatest("src", "dst").alias("high"), F.least("src", "dst").alias("low")).distinct())
+    state = None
     while True:
-        around = pairs.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        lower = labels.join(around, "node", "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("hop"))
-        names = lower.select(F.col("node").alias("hop"), F.col("hop").alias("jump"))
-        after = _cut(lower.join(names, "hop", "left").select("node", "component", F.least("hop", F.coalesce("jump", "hop")).alias("label")))
-        moved = after.where("component != label").limit(1).count()
-        labels = after.select("node", F.col("label").alias("component"))
-        if not moved:
-            return labels
+        pairs = _cut(_to_root(_to_least(pairs)))
+        now = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)")).alias("sum")).first()
+        if now == state or not now["n"]:
+            break
+        state = now
+    placed = nodes.select("node").distinct().join(pairs.select(F.col("high").alias("node"), F.col("low").alias("component")), "node", "left")
+    return placed.select("node", F.coalesce("component", "node").alias("component"))
 
 
 def betti(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -16,10 +16,14 @@ SELECT src, dst, n, CAST(row_number() OVER (PARTITION BY src ORDER BY n DESC, ds
 
 #: All distinct successions of parts.
 DENSE = "SELECT DISTINCT src, dst FROM (" + FOLLOWERS + ") g"
-#: Each part and its most frequent follower: sparse, with several components and cycles.
-SPARSE = "SELECT src, dst FROM (" + FOLLOWERS + ") g WHERE rk = 1"
-#: Each part and its two most frequent followers.
-TWOFOLD = "SELECT src, dst FROM (" + FOLLOWERS + ") g WHERE rk <= 2"
+#: The orders of a customer, each followed by the next: many long paths.
+CHAINS = """
+SELECT src, dst FROM (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM {orders}) o WHERE dst IS NOT NULL"""
+#: What a user does after what: a small graph with cycles for each user.
+TRANSITIONS = """
+SELECT DISTINCT src, dst FROM (
+  SELECT CAST(user_id AS STRING) || ':' || event_type AS src, CAST(user_id AS STRING) || ':' || lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM {events}) t
+WHERE dst IS NOT NULL AND src <> dst"""
 
 _STEM = """'m' || CAST(p_partkey % 20 AS STRING) || '/' || CASE WHEN p_size = 3 THEN 'e' || CAST(p_partkey AS STRING) || '/main'
   WHEN p_size = 1 THEN 'p' || CAST(p_partkey AS STRING) || '.spec' WHEN p_size = 2 THEN 'p' || CAST(p_partkey AS STRING) || '.service'
@@ -51,13 +55,13 @@ SELECT CAST(d.doc_id AS STRING) AS id, CASE WHEN l.quality = 1 THEN 'semantic' W
   CASE WHEN d.doc_id % 11 = 0 THEN 'archived' ELSE 'active' END AS status
 FROM {documents} d LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM {labels} GROUP BY doc_id) l ON l.doc_id = d.doc_id"""
 
-#: Associations: consecutive turns of a conversation, and memories of the same source in sequence.
+#: Associations: consecutive turns of a conversation, and what users do after what.
 ASSOCIATIONS = """
 SELECT 'c' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS from_id, 'c' || CAST(conv_id AS STRING) || '-' || CAST(next_turn AS STRING) AS to_id, 'temporal' AS type
 FROM (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_turn FROM {conversations}) t WHERE next_turn IS NOT NULL
 UNION ALL
-SELECT 'p' || CAST(src AS STRING), 'p' || CAST(dst AS STRING), CASE WHEN src % 3 = 0 THEN 'inferential' WHEN src % 3 = 1 THEN 'causal' ELSE 'consolidation' END
-FROM (""" + SPARSE + """) s"""
+SELECT 'u' || src, 'u' || dst, CASE WHEN length(src) % 3 = 0 THEN 'inferential' WHEN length(src) % 3 = 1 THEN 'causal' ELSE 'consolidation' END
+FROM (""" + TRANSITIONS + """) s"""
 
 #: Observation batches: the events of a day; one key for each user and type.
 OBSERVATIONS = """
