@@ -428,10 +428,10 @@ def event_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.chained_digest(_runs(spark, sf_dir))
 
 
-@query("""WITH old AS (SELECT o_orderkey AS path, o_orderstatus AS signature FROM orders WHERE o_totalprice > 20000), new AS (SELECT DISTINCT l_orderkey AS path, max(l_linestatus) AS signature FROM lineitem GROUP BY l_orderkey)
+@query("""WITH old AS (SELECT o_orderkey AS path, o_orderstatus AS signature FROM orders), new AS (SELECT DISTINCT l_orderkey AS path, max(l_linestatus) AS signature FROM lineitem GROUP BY l_orderkey)
 SELECT path, CASE WHEN old.signature IS NULL THEN 'added' WHEN new.signature IS NULL THEN 'deleted' WHEN old.signature <> new.signature THEN 'changed' ELSE 'reused' END AS change FROM old FULL OUTER JOIN new USING (path)""")
 def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_totalprice > 20000").select(F.col("o_orderkey").alias("path"), F.col("o_orderstatus").alias("signature"))
+    old = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("path"), F.col("o_orderstatus").alias("signature"))
     new = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("path")).agg(F.max("l_linestatus").alias("signature"))
     return L.manifest_diff(old, new)
 

@@ -34,13 +34,10 @@ FILES = f"""
 WITH stems AS (SELECT p_partkey, p_size, p_name, {_STEM} AS stem FROM {{part}}),
 followers AS ({FOLLOWERS}),
 written AS (
-  SELECT f.src, f.rk, CASE WHEN f.rk <= 2 THEN 'import X from ''' || CASE WHEN s.p_size = 3 THEN '../../' ELSE '../' END || t.stem || ''';'
-    WHEN f.rk = 3 THEN 'import Y from ''./missing' || CAST(f.dst AS STRING) || ''';' ELSE 'import ''lib-' || CAST(f.dst % 7 AS STRING) || '''; // x' END || chr(10) AS line
-  FROM followers f JOIN stems s ON s.p_partkey = f.src JOIN stems t ON t.p_partkey = f.dst WHERE f.rk <= 4),
-lines AS (
-  SELECT src, coalesce(max(CASE WHEN rk = 1 THEN line END), '') || coalesce(max(CASE WHEN rk = 2 THEN line END), '')
-    || coalesce(max(CASE WHEN rk = 3 THEN line END), '') || coalesce(max(CASE WHEN rk = 4 THEN line END), '') AS body
-  FROM written GROUP BY src)
+  SELECT f.src, f.rk, CASE WHEN f.rk % 4 IN (1, 2) THEN 'import X from ''' || CASE WHEN s.p_size = 3 THEN '../../' ELSE '../' END || t.stem || ''';'
+    WHEN f.rk % 4 = 3 THEN 'import Y from ''./missing' || CAST(f.dst AS STRING) || ''';' ELSE 'import ''lib-' || CAST(f.dst % 7 AS STRING) || '''; // x' END || chr(10) AS line
+  FROM followers f JOIN stems s ON s.p_partkey = f.src JOIN stems t ON t.p_partkey = f.dst),
+lines AS (SELECT src, listagg(line, '') WITHIN GROUP (ORDER BY rk) AS body FROM written GROUP BY src)
 SELECT 'src/' || s.stem || '.ts' AS path, coalesce(l.body, '') || '/* import ''no'' */ export class P' || CAST(s.p_partkey AS STRING) || ' ' || chr(123) || chr(125)
   || chr(10) || 'export interface I' || CAST(s.p_partkey AS STRING) || ' ' || chr(123) || chr(10) || '  id: number;' || chr(10) || '  w' || CAST(s.p_size AS STRING) || '?: string;' || chr(10) || chr(125) AS content
 FROM stems s LEFT JOIN lines l ON l.src = s.p_partkey
@@ -74,7 +71,7 @@ def duck(sql: str) -> str:
     import string
 
     names = [n for _, n, _, _ in string.Formatter().parse(sql) if n]
-    return sql.format(**{n: n for n in names}).replace("AS STRING)", "AS VARCHAR)")
+    return sql.format(**{n: n for n in names}).replace("AS STRING)", "AS VARCHAR)").replace("listagg(line, '') WITHIN GROUP (ORDER BY rk)", "string_agg(line, '' ORDER BY rk)")
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
