@@ -30,13 +30,13 @@ def build(values: DataFrame) -> bytes:
     """The table over the first column of ``values`` (long); its size does not depend on the rows."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, some = np.zeros(BITS, dtype=bool), False
+        table, some = np.zeros(BITS // 8, dtype=np.uint8), False
         for batch in batches:
-            own = batch.column(0).drop_null().to_numpy()
-            table[_places(own)] = True
-            some |= len(own) > 0
+            at = _places(batch.column(0).drop_null().to_numpy())
+            np.bitwise_or.at(table, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+            some |= len(at) > 0
         if some:
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(table).tobytes(), 1)], pa.binary())], ["bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(table.tobytes(), 1)], pa.binary())], ["bits"])
 
     total = np.zeros(BITS // 8, dtype=np.uint8)
     for row in values.select(F.col(values.columns[0]).cast("long")).coalesce(8).mapInArrow(released(fold), "bits binary").toLocalIterator():
@@ -46,11 +46,12 @@ def build(values: DataFrame) -> bytes:
 
 class BitFilter:
     def __init__(self, packed: bytes) -> None:
-        self.table = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)).astype(bool)
+        self.table = np.frombuffer(zlib.decompress(packed), np.uint8)
 
     def may_hold(self, column: pa.Array) -> np.ndarray:
         """False only for values that are surely not in the table; nulls may be."""
-        hit = self.table[_places(column.fill_null(0).to_numpy(zero_copy_only=False))]
+        at = _places(column.fill_null(0).to_numpy(zero_copy_only=False))
+        hit = (self.table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
         return hit | column.is_null().to_numpy(zero_copy_only=False)
 
 

@@ -53,11 +53,13 @@ SHORT_LIST = 128
 #: Sets of up to so many tokens are indexed by combinations of frequent tokens, larger ones by single ones: a set then has at most four times as many entries as tokens.
 LONG = 64
 #: Bytes of text for each range of tokens, at most.
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 8 << 20
 #: Pivots of a list in later rounds; the first has one, as it joins most.
 PIVOTS = 6
+#: Earlier lists of its set that a row knows when what is left is compared.
+EARLIER = 32
 #: Tokens that a task holds before it sends its runs.
-HELD_TOKENS = 1_000_000
+HELD_TOKENS = 600_000
 COUNT_BITS = 40
 #: Bits of the table of tokens that more than one set has.
 SHARED_BITS = 27
@@ -443,9 +445,18 @@ def _tried(opened: DataFrame, seed: int, percent: int) -> DataFrame:
 
 
 def _across(opened: DataFrame, percent: int) -> DataFrame:
-    """All candidates of different components."""
-    both = [opened.select("list", F.struct("key", "n", "room", "root").alias(c)) for c in "xy"]
-    met = both[0].join(both[1], "list").where(F.col("x.key") < F.col("y.key")).where(_candidate(percent))
+    """All candidates of different components.
+
+    Two sets may share many lists. They are paired in the first, whose rest leaves the most room: each
+    row knows up to ``EARLIER`` lists of its set that come before its own, and rows that share one
+    of those are not paired again.
+    """
+    firsts = opened.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct("room", "list")), asc=False), 1, EARLIER).alias("firsts"))
+    before = F.transform(F.filter("firsts", lambda f: f["room"] > F.col("room")), lambda f: f["list"])
+    rows = materialize(opened.join(firsts, "key").select("list", "key", "n", "room", "root", before.alias("before")), "jaccard-rows")
+    both = [rows.select("list", F.struct("key", "n", "room", "root", "before").alias(c)) for c in "xy"]
+    fit = (F.col("x.key") < F.col("y.key")) & _candidate(percent) & ~F.arrays_overlap("x.before", "y.before")
+    met = both[0].join(both[1], "list").where(fit)
     return met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at a time (a longer single text is taken whole).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 
