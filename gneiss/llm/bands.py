@@ -25,6 +25,8 @@ from gneiss.llm.storage import discard, materialize
 
 #: Bands up to this many nodes are compared pair by pair across components.
 SHORT_BAND = 16
+#: Earlier lists of its node that a row knows.
+EARLIER = 32
 
 
 def _met(posted: DataFrame) -> DataFrame:
@@ -62,9 +64,13 @@ def _by_prefix(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ranked = tokens.join(often, "token").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     # a list whose nodes are all in one component has nothing to compare
     listed = materialize(ranked.where("often > 1 and x != y").select("token", "node", "root", "n", (F.col("n") - F.col("place") + 1).alias("room")), "band-lists")
-    left, right = (listed.select("token", F.struct("node", "root", "n", "room").alias(c)) for c in "xy")
+    # nodes that share several lists are paired in the first only, whose rest leaves the most room
+    firsts = listed.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("room", "token")), asc=False), 1, EARLIER).alias("firsts"))
+    before = F.transform(F.filter("firsts", lambda f: f["room"] > F.col("room")), lambda f: f["token"])
+    listed = materialize(listed.join(firsts, "node").select("token", "node", "root", "n", "room", before.alias("before")), "band-rows")
+    left, right = (listed.select("token", F.struct("node", "root", "n", "room", "before").alias(c)) for c in "xy")
     need = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent))
-    fit = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.room", "y.room") >= need)
+    fit = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.room", "y.room") >= need) & ~F.arrays_overlap("x.before", "y.before")
     return left.join(right, "token").where(fit).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
