@@ -112,10 +112,29 @@ def shard(
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 16, key: str = "doc_id", **options) -> None:
-    """Write the documents in shard order: one folder for each shard, rows with their slot."""
-    placed = shard(docs, shards, key=key, **options).select(F.col("doc_id").alias("_id"), "shard", "slot", "text_crc32")
-    body = F.crc32(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"))
-    same = F.col(key).eqNullSafe(F.col("_id")) & (body == F.col("text_crc32"))
-    joined = docs.join(placed, same).drop("_id", "text_crc32")
-    joined.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 16, key: str = "doc_id", text: str = "text", **options) -> None:
+    """Write the documents in shard order: one folder for each shard, its files in ranges of slots, rows with their slot.
+
+    Every row is written once. Rows equal in id, size and checksum take the slots of their group in
+    any order; a table that has columns ``shard`` or ``slot`` itself gets ``shard_`` and ``slot_``.
+    """
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    own = {"id": F.col(key), "size": (F.octet_length(body) + 1).cast("long"), "crc": F.crc32(F.encode(body, "UTF-8"))}
+    names = [f"_gneiss_{n}" for n in own]
+    nth = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(1)))
+    placed = shard(docs, shards, key=key, text=text, **options)
+    placed = placed.select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "size", "text_crc32"), names, strict=True)], F.col("shard").alias("_gneiss_shard"), F.col("slot").alias("_gneiss_slot"))
+    left = docs.withColumns(dict(zip(names, own.values(), strict=True))).withColumn("_gneiss_nth", nth)
+    right = placed.withColumn("_gneiss_nth", nth).withColumnsRenamed({n: f"{n}2" for n in [*names, "_gneiss_nth"]})
+    same = F.lit(True)
+    for n in [*names, "_gneiss_nth"]:
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}2"))
+    shard_, slot_ = _free("shard", docs.columns), _free("slot", docs.columns)
+    out = left.join(right, same).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_gneiss_shard").alias(shard_), F.col("_gneiss_slot").alias(slot_))
+    out.repartitionByRange(shard_, slot_).sortWithinPartitions(shard_, slot_).write.partitionBy(shard_).parquet(path)

@@ -194,3 +194,11 @@ def test_toxicity_without_labels(spark, odd, empty):
     model = toxicity.fit(odd, spark.createDataFrame([], "doc_id long, toxic int"))
     assert all(r["score"] < 1e-300 and r["predicted"] == 0 for r in toxicity.scored(odd, model).collect())
     assert toxicity.scored(empty, model).count() == 0
+
+
+def test_written_shards_hold_every_row_once(spark, odd, tmp_path):
+    rows = odd.withColumn("slot", odd["node"])
+    sharding.write_shards(rows, str(tmp_path / "shards"), 4)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(map(str, back.select(*rows.columns).collect())) == sorted(map(str, rows.collect()))
+    assert len({(r["shard"], r["slot_"]) for r in back.collect()}) == rows.count()
