@@ -267,11 +267,18 @@ def on_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.on_cycle(_edges(spark, sf_dir, feeds.TRANSITIONS))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_components(_TRANSITIONS)}, ahead(start, node) AS (SELECT src, dst FROM e UNION SELECT w.start, e.dst FROM ahead w JOIN e ON e.src = w.node)
+SELECT DISTINCT p.component, TRUE AS closed FROM ahead a JOIN parts p ON p.node = a.start WHERE a.start = a.node""")
 def cycle_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which cycles a depth-first search meets is no matter of SQL; tests hold them against brute force."""
+    """Components with a witness, and whether all their witnesses follow edges all the way around.
+
+    Which cycles a depth-first search meets is no matter of SQL; tests hold them against hand-made cases.
+    """
     e = _edges(spark, sf_dir, feeds.TRANSITIONS)
-    return G.cycle_witnesses(G.vertices(e), e).select("component", F.array_join("cycle", ">").alias("cycle"), F.size("cycle").cast("long").alias("length"))
+    found = G.cycle_witnesses(G.vertices(e), e)
+    turned = F.concat(F.slice("cycle", F.lit(2), F.size("cycle")), F.slice("cycle", 1, 1))
+    steps = found.select("component", F.explode(F.arrays_zip(F.col("cycle").alias("src"), turned.alias("dst"))).alias("step")).select("component", "step.src", "step.dst")
+    return steps.join(e.withColumn("real", F.lit(True)), ["src", "dst"], "left").groupBy("component").agg(F.bool_and(F.coalesce("real", F.lit(False))).alias("closed"))
 
 
 @query(f"""WITH RECURSIVE {_components(_TRANSITIONS)}, n AS (SELECT component, count(*) AS n_nodes FROM parts GROUP BY component),
