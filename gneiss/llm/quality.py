@@ -5,9 +5,12 @@ content and boilerplate, decoded with Viterbi, marks each line, and a document i
 the base rules and at least ``CONTENT_SHARE`` of its words stand in content lines.
 
 The field is trained on a bounded sample: ``PER_CLASS`` labelled documents of either quality, those
-with the smallest hash of their id, and ``TRAIN_LINES`` lines of each. Lines inherit the label of
-their document; lines that look alike in documents of both kinds settle by majority. Everything
-else (counts, decoding, decisions) covers whole texts of all rows.
+with the smallest hash of their id, and a run of ``TRAIN_LINES`` lines from anywhere in each. Only
+documents are labelled, so the labels of lines are latent: they start as their document's, notices
+(lines with two of ``NOTICE_WORDS`` or more, and few others) as boilerplate; then lines that a field without transitions places
+clearly on the other side change theirs, unless most words of the document would. The chain is
+trained on what results. Everything else (counts, decoding, decisions) covers whole texts of all
+rows.
 
 Defined results: a null or blank text has no words, fails the base rules and is not kept. Without
 labelled rows every line counts as content. Repeated rows are judged one by one.
@@ -32,7 +35,16 @@ CONTENT_SHARE = 0.5
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
-FEATURES = 12
+FEATURES = 13
+#: Log odds from which a line of a labelled document takes the other label, and how often labels are looked at again.
+CLEAR, ROUNDS = 2.0, 2
+#: A line is a notice if one in so many of its words is a notice word.
+NOTICE_SHARE = 10
+#: Words of licences and notices; fixed values.
+NOTICE_WORDS = (
+    "copyright", "license", "licensed", "licence", "licenced", "rights", "reserved", "terms", "privacy", "policy", "cookies", "subscribe", "newsletter", "permission", "warranty",
+    "disclaimer", "gnu", "apache", "mit", "creative", "commons", "©",
+)
 _U = np.uint64
 
 
@@ -44,9 +56,20 @@ def _flags(chars: bytes) -> np.ndarray:
 
 _SYMBOL, _DIGIT, _UPPER = _flags(SYMBOLS), _flags(b"0123456789"), _flags(bytes(range(65, 91)))
 _STOP = _flags(b".!?").astype(bool)
+_NOTICE = None
 _POINT = np.array([0 if 0x80 <= b < 0xC0 else 1 for b in range(256)], dtype=np.int64)
 
 
+def _notice_hashes() -> np.ndarray:
+    """Hashes of the notice words as texts write them."""
+    global _NOTICE
+    if _NOTICE is None:
+        forms = [f + tail for w in NOTICE_WORDS for f in (w, w.title(), w.upper()) for tail in ("", ".", ",", ":", ";")]
+        part = next(iter(tv.slices(pa.array([" ".join(forms)]))))
+        _NOTICE = np.unique(tv.words(part, tv.BLANK_SEPARATED, lower=False).hashes)
+    return _NOTICE
+
+
 def _sums(values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(values)])
 
@@ -128,14 +151,17 @@ def describe(part: tv.Slice) -> Lines:
     points_to, repeats_to = _sums(word_points), _sums(repeat)
     short_to = _sums(word_points <= 3)
     marked_to = _sums(word_symbols > 0)
+    notice_to = _sums(np.isin(w.hashes, _notice_hashes()))
     bare_to = _sums(word_symbols == word_points)
     n = (last_word - first_word).astype(float)
     chars = np.maximum(1.0, points_to[last_word] - points_to[first_word])
     share = lambda to: (to[last_word] - to[first_word]) / np.maximum(n, 1)
     rate = lambda to: (to[stops] - to[starts]) / chars
+    noticed = notice_to[last_word] - notice_to[first_word]
+    notice = np.minimum(noticed, 2) / 2.0 * (NOTICE_SHARE * noticed >= n)
     tail = data[w.ends[last_word - 1] - 1] if len(used) else np.empty(0, np.uint8)
     features = np.stack(
-        [np.ones(len(used)), np.log1p(n) / 4, rate(symbol) * 4, rate(digit) * 4, chars / np.maximum(n, 1) / 8, share(short_to), _STOP[tail].astype(float), rate(upper) * 4, dup.astype(float), share(bare_to), share(marked_to), share(repeats_to)],
+        [np.ones(len(used)), np.log1p(n) / 4, rate(symbol) * 4, rate(digit) * 4, chars / np.maximum(n, 1) / 8, share(short_to), _STOP[tail].astype(float), rate(upper) * 4, dup.astype(float), share(bare_to), share(marked_to), share(repeats_to), notice],
         axis=1,
     )
     lines_to = np.searchsorted(row, np.arange(part.rows + 1))
@@ -161,10 +187,14 @@ class LineField:
         return cls(emission, np.zeros((2, 2)), np.zeros(2))
 
     @classmethod
-    def fit(cls, sequences: list[np.ndarray], labels: list[int], steps: int = 120, rate: float = 0.15, penalty: float = 1e-3) -> LineField:
-        """Maximum likelihood with forward-backward gradients and Adam over whole sequences."""
+    def fit(cls, sequences: list[np.ndarray], labels: list, chain: bool = True, steps: int = 120, rate: float = 0.15, penalty: float = 1e-3) -> LineField:
+        """Maximum likelihood with forward-backward gradients and Adam over whole sequences.
+
+        labels: one for each sequence, or an array with one for each of its lines. Without ``chain``
+        lines are independent of their neighbours.
+        """
         kept = [(s, y) for s, y in zip(sequences, labels, strict=True) if len(s)]
-        if len({y for _, y in kept}) < 2:
+        if len({int(v) for _, y in kept for v in np.unique(y)}) < 2:
             return cls.blank()
         longest, m = max(len(s) for s, _ in kept), len(kept)
         x, live = np.zeros((m, longest, FEATURES)), np.zeros((m, longest), dtype=bool)
@@ -198,6 +228,8 @@ class LineField:
                 (pair - both).sum(axis=(0, 1)) / m - penalty * transition,
                 (hot[:, 0] - single[:, 0]).sum(axis=0) / m - penalty * start,
             ]
+            if not chain:
+                grads[1:] = [np.zeros((2, 2)), np.zeros(2)]
             for p, g, a, b in zip(params, grads, first, second, strict=True):
                 a += 0.1 * (g - a)
                 b += 0.001 * (g * g - b)
@@ -234,6 +266,22 @@ class LineField:
         return labels
 
 
+def latent_labels(sequences: list[np.ndarray], labels: list[int], words: list[np.ndarray]) -> list[np.ndarray]:
+    """A label for each line of documents that are labelled as a whole; words: of each line."""
+    notice = [s[:, -1] >= 1.0 for s in sequences]
+    now = [np.where(n, 0, y) for n, y in zip(notice, labels, strict=True)]
+    for _ in range(ROUNDS):
+        field = LineField.fit(sequences, now, chain=False)
+        odds = [s @ (field.emission[:, 1] - field.emission[:, 0]) for s in sequences]
+        now = []
+        for o, n, y, w in zip(odds, notice, labels, words, strict=True):
+            mixed = np.where(o > CLEAR, 1, np.where(o < -CLEAR, 0, y))
+            # a document keeps its label by most of its words
+            own = np.where(2 * w[mixed == y].sum() >= w.sum(), mixed, y) if len(o) else mixed
+            now.append(np.where(n, 0, own))
+    return now
+
+
 @dataclass
 class Verdicts:
     lines: Lines
@@ -265,13 +313,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> LineF
             keys, quality, out = batch.column(0), batch.column(1), []
             for part in tv.slices(batch.column(2)):
                 lines = describe(part)
-                for a, b in zip(lines.borders[:-1], lines.borders[1:], strict=True):
-                    out.append(lines.features[a : min(b, a + TRAIN_LINES)].astype("<f4").tobytes())
+                for a, b, n in zip(lines.borders[:-1], lines.borders[1:], lines.n_words, strict=True):
+                    a += int(tv.mix(np.array([n], dtype=np.uint64))[0] % _U(max(b - a - TRAIN_LINES, 0) + 1))
+                    run_of = slice(a, min(b, a + TRAIN_LINES))
+                    out.append(np.column_stack([lines.line_words[run_of], lines.features[run_of]]).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([keys, quality, pa.array(out, pa.binary())], ["id", "quality", "features"])
 
     rows = texts.mapInArrow(released(run), "id long, quality int, features binary").collect()
     rows = sorted({r["id"]: r for r in sorted(rows, key=lambda r: (r["id"], bytes(r["features"])))}.values())
-    return LineField.fit([np.frombuffer(r["features"], "<f4").reshape(-1, FEATURES).astype(float) for r in rows], [r["quality"] for r in rows])
+    tables = [np.frombuffer(r["features"], "<f4").reshape(-1, 1 + FEATURES).astype(float) for r in rows]
+    sequences = [t[:, 1:] for t in tables]
+    return LineField.fit(sequences, latent_labels(sequences, [r["quality"] for r in rows], [t[:, 0] for t in tables]))
 
 
 def assess(docs: DataFrame, field: LineField, key: str = "doc_id", text: str = "text") -> DataFrame:

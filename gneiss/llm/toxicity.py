@@ -1,10 +1,11 @@
 """Toxicity scores from a counterfactually regularised linear classifier on byte 5-grams.
 
 A text's features are the distinct 5-grams of its bytes (A-Z in lower case, every separator a
-space), hashed. Logistic regression is trained on labelled texts; where such a text names a
-group, a copy with the term swapped for another of its kind is made, and the loss adds
-``COUNTERFACTUAL`` times the squared change of the score, so that naming a group as such
-carries little weight.
+space), hashed. Logistic regression is trained on labelled texts. Each has a counterfactual copy: if
+it names groups, with every term swapped for another of its kind; else with a term put in between
+two of its words, so that each term stands in texts of both labels. The loss adds ``COUNTERFACTUAL``
+times the mean squared change of the score over these pairs, so that naming a group as such carries
+little weight. A classifier knows the number of its pairs, and their mean change of score (``gap``).
 
 Learning takes a bounded sample: of the rows outside the held-out fifth, at most ``PER_CLASS`` of
 each label, those with the smallest hash of their id. Every whole text is scored.
@@ -17,6 +18,7 @@ never held out. Repeated rows are scored one by one.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,6 +54,15 @@ def swapped(text: str) -> str | None:
     return out if n else None
 
 
+def mentioning(text: str) -> str:
+    """The text with an identity term put in between two of its words; the place and the term depend on the text."""
+    words = text.split(" ")
+    at = zlib.crc32(text.encode("utf-8", "replace"))
+    terms = list(_NEXT)
+    place = at // len(terms) % (len(words) + 1)
+    return " ".join([*words[:place], terms[at % len(terms)], *words[place:]])
+
+
 _TABLE = np.where(tv.LETTERS_DIGITS[tv.LOWER], tv.LOWER, 32).astype(np.uint8)
 
 
@@ -78,6 +89,8 @@ def features(part: tv.Slice) -> tuple[np.ndarray, np.ndarray]:
 class Classifier:
     weights: np.ndarray
     intercept: float
+    n_pairs: int = 0
+    gap: float = 0.0
 
     @classmethod
     def blank(cls) -> Classifier:
@@ -125,9 +138,13 @@ class Classifier:
             scale += 0.001 * (g * g - scale)
             move = 0.05 * (moment / (1 - 0.9**step)) / (np.sqrt(scale / (1 - 0.999**step)) + 1e-8)
             w, b = np.maximum(w - move[:-1], 0).astype(np.float32), b - move[-1]
+        gap = 0.0
+        if len(pairs):
+            own, changed = (1 / (1 + np.exp(-(m @ w + b))) for m in (x[origin], other))
+            gap = float(np.abs(own - changed).mean())
         weights = np.zeros(1 << BITS, dtype=np.float32)
         weights[kept] = w
-        return cls(weights, float(b))
+        return cls(weights, float(b), len(pairs), gap)
 
     def score(self, part: tv.Slice) -> np.ndarray:
         buckets, borders = features(part)
@@ -165,16 +182,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Class
             return out
 
         for batch in batches:
-            others = [swapped(t.as_py() or "") for t in batch.column(2)]
-            changed = sets(pa.array(others, pa.string()))
-            columns = [batch.column(0), batch.column(1), pa.array(sets(batch.column(2)), pa.binary())]
-            columns.append(pa.array([c if o is not None else None for c, o in zip(changed, others, strict=True)], pa.binary()))
+            bodies = [t.as_py() or "" for t in batch.column(2)]
+            others = pa.array([swapped(t) or mentioning(t) for t in bodies], pa.string())
+            columns = [batch.column(0), batch.column(1), pa.array(sets(batch.column(2)), pa.binary()), pa.array(sets(others), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "toxic", "own", "other"])
 
     rows = texts.mapInArrow(run, "id long, toxic int, own binary, other binary").collect()
     rows = sorted({r["id"]: r for r in sorted(rows, key=lambda r: (r["id"], bytes(r["own"])))}.values())
     read = lambda v: np.frombuffer(v, "<i4")
-    return Classifier.fit([read(r["own"]) for r in rows], [r["toxic"] for r in rows], [(i, read(r["other"])) for i, r in enumerate(rows) if r["other"] is not None])
+    return Classifier.fit([read(r["own"]) for r in rows], [r["toxic"] for r in rows], [(i, read(r["other"])) for i, r in enumerate(rows)])
 
 
 def scored(docs: DataFrame, model: Classifier, key: str = "doc_id", text: str = "text") -> DataFrame:

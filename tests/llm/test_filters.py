@@ -65,6 +65,35 @@ def test_viterbi_equals_enumeration():
         assert labels[a:b].tolist() == (brute_decode(field, s) if len(s) else [])
 
 
+def test_quality_marks_notices_and_symbols_inside_good_documents(spark, docs, texts):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    field = quality.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels)
+    known = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    good = [t for i, t in texts.items() if known.get(i) == 1 and t and t.isascii() and len(t.split()) > 80 and t.count("\n") >= 3 and "icense" not in t][:20]
+    junk = ["This work is licensed under the GNU General Public License, version 3.", "H%%% eno### th$$$ ouan&&& st*** er### on%%% heat$$$ thea&&&"]
+    marked, spared, n = 0, 0, 0
+    for body in good:
+        lines = body.split("\n")
+        mixed = [*lines[:1], junk[0], *lines[1:2], junk[1], *lines[2:]]
+        part = next(iter(quality.tv.slices(pa.array(["\n".join(mixed)]))))
+        seen = quality.describe(part)
+        found = field.decode(seen.features, seen.borders)
+        worded = [x for x in mixed if x.split()]
+        marked += sum(1 for x, y in zip(worded, found, strict=True) if x in junk and y == 0)
+        spared += sum(1 for x, y in zip(worded, found, strict=True) if x not in junk and y == 1)
+        n += len(worded) - 2
+        assert quality.judge(part, field).kept.all() or quality.judge(part, field).lines.base_failed.all()
+    assert good and marked >= 0.9 * 2 * len(good) and spared >= 0.8 * n, (len(good), marked, spared, n)
+
+
+def test_latent_labels_follow_lines_not_documents():
+    # the second number tells boilerplate; documents of either label hold a line of the other kind
+    line = lambda bad: np.array([1.0, bad] + [0.0] * (quality.FEATURES - 2))
+    docs = [np.stack([line(0)] * 11 + [line(1)])] * 20 + [np.stack([line(1)] * 11 + [line(0)])] * 20
+    got = quality.latent_labels(docs, [1] * 20 + [0] * 20, [np.full(12, 9.0)] * 40)
+    assert got[0].tolist() == [1] * 11 + [0] and got[-1].tolist() == [0] * 11 + [1]
+
+
 def test_quality_without_labels(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     field = quality.fit(odd, none)
@@ -190,6 +219,17 @@ def test_counterfactual_pairs_lower_the_gap():
     assert toxicity.swapped("Old women and THE gay friend") == "young men and THE lesbian friend" and toxicity.swapped("manly womenfolk") is None
 
 
+def test_toxicity_is_the_same_with_a_neutral_mention(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    assert model.n_pairs > 100 and model.gap < 0.01
+    bodies = [r["text"] or "" for r in docs.orderBy("doc_id").limit(200).collect()]
+    said = [toxicity.mentioning(b) for b in bodies]
+    assert all(len(s) > len(b) for s, b in zip(said, bodies, strict=True))
+    one, two = (np.concatenate([model.score(p) for p in toxicity.tv.slices(pa.array(t))]) for t in (bodies, said))
+    assert np.abs(one - two).mean() < 0.01
+
+
 def test_toxicity_without_labels(spark, odd, empty):
     model = toxicity.fit(odd, spark.createDataFrame([], "doc_id long, toxic int"))
     assert all(r["score"] < 1e-300 and r["predicted"] == 0 for r in toxicity.scored(odd, model).collect())
