@@ -37,12 +37,17 @@ def rank(scored: DataFrame, limit: int = 20) -> DataFrame:
     return scored.orderBy(*order).limit(limit)
 
 
+#: Tags that relate nothing; fixed values.
+GENERIC_TAGS = ("consolidated", "auto_consolidated", "pattern")
+
+
 def shared_tag_pairs(memories: DataFrame, least: int, linked: DataFrame) -> DataFrame:
-    """(a, b, shared, linked): active memories of one type that share at least ``least`` tags.
+    """(a, b, shared, linked): active memories of one type that share at least ``least`` tags, generic ones aside.
 
     Joined through the tags themselves; ``linked`` holds (src, dst) of known bridges, either way.
     """
-    tags = memories.where("status = 'active'").select("id", "type", F.explode(F.array_distinct("tags")).alias("tag"))
+    telling = F.array_except("tags", F.array(*map(F.lit, GENERIC_TAGS)))
+    tags = memories.where("status = 'active'").select("id", "type", F.explode(telling).alias("tag"))
     other = tags.withColumnRenamed("id", "other")
     counts = tags.join(other, ["type", "tag"]).where("id < other").groupBy(F.col("id").alias("a"), F.col("other").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     known = linked.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().withColumn("_known", F.lit(True))

@@ -113,10 +113,12 @@ def test_gaps(g: CodeGraph) -> DataFrame:
     lone = g.nodes.where("is_test and fan_out = 0")
     parts = G.weak_components(g.nodes.select("node"), g.edges).join(g.nodes.select("node", "is_test"), "node")
     untested = parts.groupBy("component").agg(F.max("is_test").alias("tested"), F.count(F.lit(1)).alias("n")).where("not tested")
+    none = g.nodes.agg(F.count_if("is_test").alias("tests"), F.count(F.lit(1)).alias("n")).where("tests = 0 and n > 0").select(F.lit(None).cast("string").alias("node"), "n")
     return (
         _findings(gaps, "topo.test_reachability", "high_influence_without_test_path", "medium")
         .unionByName(_findings(lone, "topo.test_reachability", "isolated_test", "medium"))
         .unionByName(_findings(untested, "topo.test_reachability", "testless_component", "low", file="component", detail="n"))
+        .unionByName(_findings(none, "topo.test_reachability", "no_test_files", "high", detail="n"))
     )
 
 

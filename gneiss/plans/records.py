@@ -228,3 +228,50 @@ def record_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def findings_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = C.analyze(code(spark, sf_dir), ["topo.orphan"])
     return found.groupBy("analyzer").agg(F.count(F.lit(1)).alias("n")).select("analyzer", F.lit("orphan").alias("kind"), "n")
+
+
+#: A file for each order, a line of code for each of its lines.
+CODE_LINES = """
+SELECT 'src/o' || CAST(l_orderkey AS STRING) || '.ts' AS path, l_linenumber AS line, CASE l_partkey % 7 WHEN 0 THEN 'delete config.port;' WHEN 1 THEN 'eval(code);' WHEN 2 THEN 'new Function (''x'');'
+  WHEN 3 THEN 'fs.readFileSync(''a'');' WHEN 4 THEN 'const v' || CAST(l_linenumber AS STRING) || ' = await one();' WHEN 5 THEN 'const t' || CAST(l_linenumber AS STRING) || ' = setInterval(f, 5);'
+  ELSE 'myCache.set(k, 1);' END AS text FROM (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS INT) AS l_linenumber, l_partkey FROM {lineitem}) n"""
+_RULES = f"""l AS ({duck(CODE_LINES)}), r AS (SELECT path, CAST(line AS BIGINT) AS line, CASE WHEN text LIKE 'delete%' THEN 'delete_operator' WHEN text LIKE 'eval%' THEN 'eval_usage' WHEN text LIKE 'new F%' THEN 'new_function'
+  WHEN text LIKE 'fs.%' THEN 'sync_io' WHEN text LIKE '%setInterval%' THEN 'uncleared_timer' END AS type, text FROM l)"""
+
+
+def _line_rules(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    rows = frame(spark, sf_dir, CODE_LINES).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("lines"))
+    files = rows.select("path", F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("content"))
+    return C.ANALYZERS[name](C.CodeGraph(files)).select("type", "severity", "file", "line", "detail")
+
+
+@query(f"WITH {_RULES} SELECT type, 'high' AS severity, path AS file, line, '1' AS detail FROM r WHERE type IN ('delete_operator', 'eval_usage', 'new_function')")
+def perf_deopt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_rules(spark, sf_dir, "perf.deopt")
+
+
+@query(f"""WITH {_RULES}, a AS (SELECT path, line, CASE WHEN line - lag(line) OVER w <= 3 THEN 0 ELSE 1 END AS fresh FROM r WHERE text LIKE '%await%' WINDOW w AS (PARTITION BY path ORDER BY line)),
+i AS (SELECT path, line, sum(fresh) OVER (PARTITION BY path ORDER BY line) AS island FROM a)
+SELECT 'sequential_await' AS type, 'medium' AS severity, path AS file, min(line) AS line, CAST(count(*) AS VARCHAR) AS detail FROM i GROUP BY path, island HAVING count(*) >= 2
+UNION ALL SELECT type, 'high', path, line, '1' FROM r WHERE type = 'sync_io'""")
+def perf_async(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_rules(spark, sf_dir, "perf.async")
+
+
+@query(f"WITH {_RULES} SELECT type, 'high' AS severity, path AS file, line, '1' AS detail FROM r WHERE type = 'uncleared_timer'")
+def perf_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_rules(spark, sf_dir, "perf.gc")
+
+
+@query(f"WITH {_RULES} SELECT t.type, 'medium' AS severity, path AS file, line, '1' AS detail FROM r, (VALUES ('missing_ttl'), ('unbounded_cache')) t(type) WHERE text LIKE 'myCache%'")
+def perf_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_rules(spark, sf_dir, "perf.cache")
+
+
+@query(f"""WITH RECURSIVE {_NODES}, walk(start, node) AS (SELECT node, node FROM nodes WHERE is_test UNION SELECT w.start, e.dst FROM walk w JOIN edges e ON e.src = w.node), reached AS (SELECT DISTINCT node FROM walk WHERE start <> node)
+SELECT 'high_influence_without_test_path' AS type, 'medium' AS severity, node AS file FROM nodes WHERE NOT is_test AND (is_entrypoint OR fan_in >= 2) AND node NOT IN (SELECT node FROM reached)
+UNION ALL SELECT 'isolated_test', 'medium', node FROM nodes WHERE is_test AND fan_out = 0
+UNION ALL SELECT 'no_test_files', 'high', NULL FROM nodes HAVING count(*) FILTER (is_test) = 0 AND count(*) > 0""")
+def test_gap_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All but the components without tests, which need whole components in SQL."""
+    return C.test_gaps(code(spark, sf_dir)).where("type <> 'testless_component'").select("type", "severity", "file")

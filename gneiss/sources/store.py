@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ class SnapshotStore:
     """Each commit writes a new version; the newest version that reads well is the current one.
 
     Spark writes ``_SUCCESS`` last, so an unfinished version is never current, and the one before it
-    serves as the backup.
+    serves as the backup. Writers at the same time take different versions.
     """
 
     def __init__(self, spark: SparkSession, path: str, keep: int = 2) -> None:
@@ -29,10 +30,23 @@ class SnapshotStore:
         done = [n for n in names if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
         return sorted(int(n[1:]) for n in done)
 
+    def _claim(self, version: int) -> int:
+        """The first number from ``version`` on that no other writer has; creating its claim is atomic."""
+        fs, _, jvm = self._fs()
+        while True:
+            claim = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_claims/v{version}")
+            try:
+                fs.create(claim, False).close()
+                return version
+            except Py4JJavaError:
+                if not fs.exists(claim):
+                    raise
+                version += 1
+
     def commit(self, df: DataFrame) -> int:
         fs, _, jvm = self._fs()
         held = self.versions()
-        version = (held[-1] if held else 0) + 1
+        version = self._claim((held[-1] if held else 0) + 1)
         df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
         for old in held[: max(0, len(held) + 1 - self.keep)]:
             fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}"), True)

@@ -11,6 +11,7 @@ QUICK = [
     "cycle_witnesses", "cycle_basis", "health", "memory_stats", "recall_top", "bridge_candidates", "consolidation_groups", "memory_betti_breakdown", "observation_state", "event_runs", "event_digest", "greedy_packing",
     "evidence_freshness", "recall_trace", "recall_undirected", "recall_directed", "evidence_top", "findings_to_store", "resolve_targets", "excerpt_windows", "memory_graph", "isolated_memories", "memory_health",
     "merged_observations", "evidence_reconcile", "compact_and_access", "consolidate", "batch_links", "archived_namespaces", "record_signatures", "findings_by_type",
+    "perf_deopt", "perf_async", "perf_gc", "perf_cache", "test_gap_findings",
 ]
 
 

@@ -117,3 +117,23 @@ def test_trigger(spark):
     parts = spark.createDataFrame([("a", "a"), ("b", "a")], "node string, component string")
     row = M.consolidation_trigger(m, parts).first()
     assert (row["unconsolidated"], row["beta_0"], row["isolated"], row["needed"]) == (15, 1, 0, True)
+
+
+def test_source_tree_below_odd_roots(spark, tmp_path):
+    root = tmp_path / ".cfg" / "dist" / "a+b"
+    for name, body in {"x.ts": b"caf\xc3\xa9 \xff!", "y.ts": b"ok", "out/z.ts": b"no", "sub/w.ts": b"w"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(body)
+    rows = {r["path"]: r["content"] for r in S.scan_sources(spark, str(root), str(root)).collect()}
+    assert rows == {"x.ts": "caf\u00e9 !", "y.ts": "ok", "sub/w.ts": "w"}
+    assert {r["path"] for r in S.scan_manifest(spark, str(root), str(root)).collect()} == set(rows)
+    assert [tuple(r) for r in S.skipped(spark, str(root), str(root)).collect()] == [("x.ts", "invalid_utf8")]
+    folders = {r["path"].rpartition("a+b")[2]: (r["files"], r["dirs"]) for r in S.scan_directories(spark, str(root)).collect()}
+    assert folders == {"": (2, 2), "/out": (1, 0), "/sub": (1, 0)}
+
+
+def test_writers_take_different_versions(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "s"))
+    one, two = store._claim(1), SnapshotStore(spark, str(tmp_path / "s"))._claim(1)
+    assert (one, two) == (1, 2)
+    assert store.commit(spark.range(3)) == 3 and store.read().count() == 3
