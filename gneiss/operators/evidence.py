@@ -113,17 +113,17 @@ def excerpts(texts: DataFrame, wanted: Column, terms) -> DataFrame:
     """(path, line, text, strategy): lines with a wanted term and their neighbours, else imports, exports and
     decorators, else lines that are not blank; the first ``EXCERPT_LINES`` of each path.
 
-    ``terms`` gives the terms of a line. Work is inside each row: no shuffle.
+    ``terms`` gives the terms of a line; each path comes once. One shuffle by path, of lines.
     """
     lines = F.split(F.regexp_replace("content", "\r\n?", "\n"), "\n")
-    rows = texts.select("path", F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"), F.arrays_overlap(terms(x), wanted).alias("hit"))).alias("lines"))
-    hit = lambda i: F.coalesce(F.get("lines", i)["hit"], F.lit(False))
-    near = F.filter("lines", lambda x, i: hit(i) | hit(i + 1) | F.when(i > 0, hit(i - 1)).otherwise(F.lit(False)))
-    head = F.filter("lines", lambda x: F.ltrim(x["text"]).rlike("^(import |export |@)"))
-    full = F.filter("lines", lambda x: F.trim(x["text"]) != "")
-    picked = F.when(F.size(near) > 0, near).when(F.size(head) > 0, head).otherwise(full)
-    rows = rows.select("path", F.when(F.size(near) > 0, "query_window").otherwise("structural_head").alias("strategy"), F.slice(picked, 1, EXCERPT_LINES).alias("picked"))
-    return rows.select("path", "strategy", F.explode("picked").alias("x")).select("path", "strategy", "x.line", F.substring("x.text", 1, 240).alias("text"))
+    rows = texts.select("path", F.posexplode(lines).alias("at", "text")).select("path", (F.col("at") + 1).alias("line"), "text")
+    rows = rows.withColumn("hit", F.arrays_overlap(terms(F.col("text")), wanted)).withColumn("head", F.ltrim("text").rlike("^(import |export |@)"))
+    whole = Window.partitionBy("path")
+    near = F.max("hit").over(whole.orderBy("line").rowsBetween(-1, 1))
+    rows = rows.withColumn("near", near).withColumn("any_hit", F.max("hit").over(whole)).withColumn("any_head", F.max("head").over(whole))
+    picked = rows.where(F.when(F.col("any_hit"), F.col("near")).when(F.col("any_head"), F.col("head")).otherwise(F.trim("text") != ""))
+    first = picked.withColumn("place", F.row_number().over(whole.orderBy("line"))).where(F.col("place") <= EXCERPT_LINES)
+    return first.select("path", F.when(F.col("any_hit"), "query_window").otherwise("structural_head").alias("strategy"), "line", F.substring("text", 1, 240).alias("text"))
 
 
 def evidence_of_files(findings: DataFrame, files: DataFrame, columns: list[str]) -> DataFrame:
