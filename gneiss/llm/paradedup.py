@@ -15,7 +15,8 @@ too, so a passage is covered from its first word to its last. (Where a document
 in common with a third one, up to ``SHARED - RUN_WORDS`` words at the ends of the shorter may stay.)
 
 Two passes find which bands, anchors and stretches occur twice at all, in bit tables of a fixed size;
-only their paragraphs are exchanged. A paragraph that occurs in at least two documents stays where
+only their paragraphs are exchanged. Shingles are not kept: one more pass makes those of the lines that
+share a band with a different one. A paragraph that occurs in at least two documents stays where
 (doc_id, position) is smallest, and goes from all other places.
 
 Defined results: a null text has no paragraphs; a null id is an id like any other, before all
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from gneiss.llm import bitfilter
 from gneiss.llm import textvec as tv
 from gneiss.llm.bands import united
-from gneiss.llm.storage import materialize, released
+from gneiss.llm.storage import discard, materialize, released
 
 WIDTH = 5
 PERCENT = 75
@@ -65,7 +66,7 @@ def _sliding(values: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
 class Paragraphs:
     """Lines, windows and stretches of a slice, as word ranges [first, last)."""
 
-    def __init__(self, part: tv.Slice) -> None:
+    def __init__(self, part: tv.Slice, anchored: bool = True) -> None:
         data = part.data
         self.words = w = tv.words(part, tv.BLANK_SEPARATED)
         n = len(w.starts)
@@ -77,7 +78,7 @@ class Paragraphs:
         for base in _SEQ:
             up = tv._powers(base, n + 1)
             self.sums.append((np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hashes * up[:n], dtype=np.uint64)]), tv._powers(pow(base, -1, 1 << 64), n + 1)))
-        self.windows, self.anchors = self._anchors(n)
+        self.windows, self.anchors = self._anchors(n if anchored else 0)
         self.data = data
 
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
@@ -94,6 +95,11 @@ class Paragraphs:
     def keys(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return tuple(tv.mix((c[last] - c[first]) * down[first] + (last - first).astype(np.uint64)) for c, down in self.sums)
 
+    def line_keys(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of lines; a line and a window of the same words are different paragraphs."""
+        k1, k2 = self.keys(first, last)
+        return k1, k2 ^ _U(1)
+
     def _anchors(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The hash of the window at each word, and the windows that are least among those of some SHARED words of a row."""
         if n < SHARED:
@@ -157,9 +163,9 @@ class Paragraphs:
         return tv.mix(grams)
 
 
-def _paragraphs(batch: pa.RecordBatch) -> Iterator[tuple[tv.Slice, Paragraphs]]:
+def _paragraphs(batch: pa.RecordBatch, anchored: bool = True) -> Iterator[tuple[tv.Slice, Paragraphs]]:
     for part in tv.slices(batch.column(batch.schema.get_field_index("text"))):
-        yield part, Paragraphs(part)
+        yield part, Paragraphs(part, anchored)
 
 
 def _first_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -178,11 +184,12 @@ def _end_hashes(table: bytes) -> Callable[[pa.RecordBatch], Iterator[np.ndarray]
     return run
 
 
-UNITS = "doc_id long, doc long, start int, stop int, n1 long, n2 long, bands array<long>, shingles array<long>"
+UNITS = "doc_id long, doc long, start int, stop int, n1 long, n2 long, bands array<long>"
+SETS = "n1 long, n2 long, shingles array<long>"
 
 
 def find_units(docs: DataFrame, table: bytes, ends: bytes) -> DataFrame:
-    """Paragraphs that may occur twice; bands and shingles are null for all but lines."""
+    """Paragraphs that may occur twice; bands are null for all but lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeats, ended = bitfilter.RepeatTable(table, REPEAT_BITS), bitfilter.RepeatTable(ends, REPEAT_BITS)
@@ -200,24 +207,43 @@ def find_units(docs: DataFrame, table: bytes, ends: bytes) -> DataFrame:
                 if not len(a):
                     continue
                 k1, k2 = p.keys(a, b)
-                k2[: len(la)] ^= _U(1)  # a line and a window of the same words are different paragraphs
+                k1[: len(la)], k2[: len(la)] = p.line_keys(la, lb)
                 row = p.row[a]
                 used, at = np.unique(row, return_inverse=True)
                 own = [int.from_bytes(hashlib.blake2b(part.data[part.offsets[r] : part.offsets[r + 1]].tobytes(), digest_size=8).digest(), "little", signed=True) for r in used]
                 none = pa.nulls(len(a) - len(la), pa.list_(pa.int64()))
-                grams = p.grams() if len(la) else None
                 columns = [
                     ids.take(pa.array(row + part.first)), pa.array(own, pa.int64()).take(pa.array(at)),
                     pa.array((p.words.starts[a] - part.offsets[row]).astype(np.int32)), pa.array((p.words.ends[b - 1] - part.offsets[row]).astype(np.int32)),
                     pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
                     pa.concat_arrays([pa.array([x[y].view(np.int64) for x, y in zip(bands, often, strict=True)], pa.list_(pa.int64())), none]),
-                    pa.concat_arrays([pa.array([tv.distinct(grams[x : y - WIDTH + 1]).view(np.int64) for x, y in zip(la, lb, strict=True)], pa.list_(pa.int64())), none]),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in UNITS.split(", ")])
 
     return docs.mapInArrow(released(run), UNITS)
 
 
+def find_sets(docs: DataFrame, wanted: bytes) -> DataFrame:
+    """Shingles of lines whose n1 may be in the bit table ``wanted``; copies in a slice once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitfilter.BitFilter(wanted)
+        for batch in batches:
+            for _, p in _paragraphs(batch, anchored=False):
+                first, last = p.lines()
+                k1, k2 = p.line_keys(first, last)
+                at = np.unique(np.stack([k1, k2]), axis=1, return_index=True)[1]
+                at = at[bits.may_hold(pa.array(k1[at].view(np.int64)))]
+                if not len(at):
+                    continue
+                grams = p.grams()
+                sets = [tv.distinct(grams[x : y - WIDTH + 1]).view(np.int64) for x, y in zip(first[at], last[at], strict=True)]
+                columns = [pa.array(k1[at].view(np.int64)), pa.array(k2[at].view(np.int64)), pa.array(sets, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SETS.split(", ")])
+
+    return docs.mapInArrow(released(run), SETS)
+
+
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each occurrence of a paragraph that several documents have: doc_id, doc (a hash of the text), start, stop (bytes), first_doc_id, removed."""
     spark = docs.sparkSession
@@ -227,10 +253,16 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     ends = bitfilter.repeated(rows.select("text"), _end_hashes(table), parts, REPEAT_BITS)
     units = materialize(find_units(rows, table, ends), "paragraphs")
     node = F.struct("n1", "n2").alias("node")
-    lines = units.where("bands is not null").groupBy(node).agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
+    lines = units.where("bands is not null").groupBy(node).agg(F.first("bands").alias("bands"))
     lines = materialize(lines, "paragraph-lines")
     posted = lines.select("node", F.explode(F.array_distinct("bands")).alias("band"))
-    roots = united(posted, lambda wanted: lines.join(wanted, "node", "left_semi").select("node", "shingles"), PERCENT)
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        found = find_sets(rows.select("text"), bitfilter.build(wanted.select("node.n1"))).select(node, "shingles").join(wanted, "node", "left_semi")
+        return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+    roots = united(posted, sets, PERCENT)
+    discard(lines)
     columns = ["doc_id", "doc", "start", "stop"]
     named = roots.select(F.col("node.n1").alias("n1"), F.col("node.n2").alias("n2"), F.col("root.n1").alias("r1"), F.col("root.n2").alias("r2"))
     placed = units.where("bands is not null").select(*columns, "n1", "n2").join(named, ["n1", "n2"], "left").select(*columns, F.coalesce("r1", "n1").alias("n1"), F.coalesce("r2", "n2").alias("n2"))

@@ -260,3 +260,12 @@ def test_passages_miss_no_document(docs, texts):
 def test_passages_of_odd_tables(odd, empty):
     assert paradedup.passages(empty).count() == 0
     paradedup.passages(odd).collect()
+
+
+def test_units_of_lines_hold_no_shingles(spark):
+    assert "shingles" not in paradedup.UNITS
+    text = "\n".join(" ".join(f"w{i}x{j}" for j in range(25)) for i in range(3))
+    rows = spark.createDataFrame([(1, text), (2, "no line"), (3, None), (4, text)], "doc_id long, text string")
+    every = spark.createDataFrame([(1,)], "n long")
+    none = paradedup.find_sets(rows.select("text"), paradedup.bitfilter.build(every))
+    assert none.count() == 0 and none.columns == ["n1", "n2", "shingles"]
