@@ -294,3 +294,14 @@ def test_units_of_lines_hold_no_shingles(spark):
     every = spark.createDataFrame([(1,)], "n long")
     none = paradedup.find_sets(rows.select("text"), paradedup.bitfilter.build(every))
     assert none.count() == 0 and none.columns == ["n1", "n2", "shingles"]
+
+
+def test_lines_alike_between_word_starts(spark, tmp_path):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij\U00020000") for _ in range(80))
+    lines = [[word() for _ in range(6)] for _ in range(10)]
+    # all words begin with another letter: no shingle at a word's start is the same
+    rows = [(1, "\n".join(map(" ".join, lines))), (2, "\n".join(" ".join("Z" + w[1:] for w in x) for x in lines)), (3, " ".join(word() for _ in range(6)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n_removed"] for r in entry.queries()["op2_fuzzy_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got[1] == got[3] == 0 and got[2] >= 9
