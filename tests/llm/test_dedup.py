@@ -287,6 +287,30 @@ def test_near_copies_meet_in_proportion_to_their_number(spark, monkeypatch):
     assert sum(tried) < 10 * len(sets)
 
 
+def test_sets_that_share_much_but_are_not_similar_are_not_compared(spark, monkeypatch):
+    rng = random.Random(5)
+    # lists of common values in which most members differ by more than they may
+    sets = {k: sorted(rng.sample(range(30), 20)) for k in range(200)}
+    table = spark.createDataFrame(list(sets.items()), "node long, shingles array<long>")
+    rows = spark.createDataFrame([(k, 0) for k in sets], "node long, band long")
+    tried, real = [], bands.verified
+
+    def verified(pairs, *rest):
+        tried.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(bands, "verified", verified)
+    got = {r["node"]: r["root"] for r in bands.united(rows, lambda wanted: table.join(wanted, "node"), 75).collect()}
+    parent = {k: k for k in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = set(sets[a]), set(sets[b])
+        if 100 * len(x & y) >= 75 * len(x | y):
+            ra, rb = root_of(parent, a), root_of(parent, b)
+            parent[max(ra, rb)] = min(ra, rb)
+    assert got == {k: root_of(parent, k) for k in sets if k in got} and {k for k in sets if root_of(parent, k) != k} <= set(got)
+    assert sum(tried) < 6 * len(sets), tried
+
+
 def test_units_of_lines_hold_no_shingles(spark):
     assert "shingles" not in paradedup.UNITS
     text = "\n".join(" ".join(f"w{i}x{j}" for j in range(25)) for i in range(3))
