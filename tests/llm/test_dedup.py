@@ -311,6 +311,20 @@ def test_sets_that_share_much_but_are_not_similar_are_not_compared(spark, monkey
     assert sum(tried) < 6 * len(sets), tried
 
 
+def test_lines_are_kept_without_their_runs(spark, monkeypatch):
+    line = "one line that two documents share but for its end"
+    rows = spark.createDataFrame([(1, line), (2, line + "s"), (3, line + "s!")], "doc_id long, text string")
+    kept, real = [], linededup.united
+
+    def united(posted, fetch, *rest):
+        kept.append(dict(fetch(posted.select("node").distinct()).dtypes))
+        return real(posted, fetch, *rest)
+
+    monkeypatch.setattr(linededup, "united", united)
+    assert linededup.report(rows, min_words=1, every=True).where("n_removed = 1").count() == 2
+    assert [c["body"] for c in kept] == ["string"]
+
+
 def test_units_of_lines_hold_no_shingles(spark):
     assert "shingles" not in paradedup.UNITS
     text = "\n".join(" ".join(f"w{i}x{j}" for j in range(25)) for i in range(3))
