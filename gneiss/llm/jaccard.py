@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from gneiss.llm import bitfilter
 from gneiss.llm import textvec as tv
 from gneiss.llm.components import connected
-from gneiss.llm.storage import discard, materialize, released
+from gneiss.llm.storage import discard, materialize, released, trim
 
 WIDTH = 5
 PERCENT = 75
@@ -374,6 +374,15 @@ def _parts(rows: DataFrame) -> int:
     return max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
 
 
+def _packed(rows: Iterable[bytes], size: int) -> np.ndarray:
+    """A bit for each of ``size`` places, eight in a byte as packbits has them; set are those of the rows, compressed steps from place to place."""
+    table = np.zeros(size >> 3, dtype=np.uint8)
+    for row in rows:
+        at = np.cumsum(np.frombuffer(zlib.decompress(row), "<u4"), dtype=np.int64)
+        np.bitwise_or.at(table, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+    return table
+
+
 def _placed(docs: DataFrame, key: str, text: str, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: doc_id, n, key (of its set) and root, the component; null for texts without words."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -381,11 +390,10 @@ def _placed(docs: DataFrame, key: str, text: str, width: int = WIDTH, percent: i
     first = materialize(count_tokens(rows, parts, width), "jaccard-sets")
     members = first.where("key is not null").select("doc_id", "n", "key")
     frequent = first.where("token is not null").select("token", "count").orderBy(F.desc("count"), "token").limit(FREQUENT_KEPT).toPandas()
-    table = np.zeros(1 << SHARED_BITS, dtype=bool)
-    for row in first.where("bits is not null").select("bits").toLocalIterator():
-        table[np.cumsum(np.frombuffer(zlib.decompress(row["bits"]), "<u4"), dtype=np.int64)] = True
-    order = Order(zlib.compress(np.packbits(table).tobytes(), 1), frequent["token"].to_numpy(np.int64).view(np.uint64), frequent["count"].to_numpy(np.int64))
+    table = _packed((row["bits"] for row in first.where("bits is not null").select("bits").toLocalIterator()), 1 << SHARED_BITS)
+    order = Order(zlib.compress(table.tobytes(), 1), frequent["token"].to_numpy(np.int64).view(np.uint64), frequent["count"].to_numpy(np.int64))
     del table
+    trim()
     reps = members.where("n > 2").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
 
     indexed = materialize(index_prefixes(rows, parts, width, percent, order), "jaccard-index")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm import textvec as tv
-from gneiss.llm.storage import released
+from gneiss.llm.storage import released, trim
 
 PER_CLASS = 1500
 TRAIN_LINES = 32
@@ -323,7 +323,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> LineF
     rows = sorted({r["id"]: r for r in sorted(rows, key=lambda r: (r["id"], bytes(r["features"])))}.values())
     tables = [np.frombuffer(r["features"], "<f4").reshape(-1, 1 + FEATURES).astype(float) for r in rows]
     sequences = [t[:, 1:] for t in tables]
-    return LineField.fit(sequences, latent_labels(sequences, [r["quality"] for r in rows], [t[:, 0] for t in tables]))
+    field = LineField.fit(sequences, latent_labels(sequences, [r["quality"] for r in rows], [t[:, 0] for t in tables]))
+    del rows, tables, sequences
+    trim()
+    return field
 
 
 def assess(docs: DataFrame, field: LineField, key: str = "doc_id", text: str = "text") -> DataFrame:

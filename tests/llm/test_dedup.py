@@ -2,14 +2,19 @@ import hashlib
 import itertools
 import random
 import re
+import time
+import tracemalloc
+import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gneiss.llm import bands, jaccard, linededup, paradedup, suffix
 from gneiss.llm.components import connected
+from gneiss.llm.storage import CLEANUP, materialize
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = re.compile("[A-Z]+")
@@ -343,3 +348,29 @@ def test_lines_alike_between_word_starts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["n_removed"] for r in entry.queries()["op2_fuzzy_line_dedup"](spark, str(tmp_path)).collect()}
     assert got[1] == got[3] == 0 and got[2] >= 9
+
+
+def test_shared_places_take_a_bit_each():
+    rng = random.Random(8)
+    places = [sorted(rng.sample(range(1 << 12), 300)) for _ in range(4)]
+    rows = [zlib.compress(np.diff(np.array(p, dtype=np.int64), prepend=0).astype("<u4").tobytes()) for p in places]
+    wanted = np.zeros(1 << 12, dtype=bool)
+    wanted[[x for p in places for x in p]] = True
+    assert (jaccard._packed(rows, 1 << 12) == np.packbits(wanted)).all()
+    tracemalloc.start()
+    jaccard._packed(rows, 1 << jaccard.SHARED_BITS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < (1 << jaccard.SHARED_BITS) // 4, peak
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, setting = files(), spark.conf.get(CLEANUP, None)
+    out = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(40):
+        if not files() - before:
+            break
+        time.sleep(0.25)
+    assert not files() - before and out.count() == 7
+    assert spark.conf.get(CLEANUP, None) == setting
