@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from gneiss.llm import bands, jaccard, linededup, paradedup, suffix
+from gneiss.llm import bands, components, jaccard, linededup, paradedup, suffix
 from gneiss.llm.components import connected
 from gneiss.llm.storage import CLEANUP, materialize
 
@@ -364,6 +364,19 @@ def test_shared_places_take_a_bit_each():
     assert peak < (1 << jaccard.SHARED_BITS) // 4, peak
 
 
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_components_by_exchanges_or_in_one_task(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    pairs = [(i, i + 1) for i in range(40) if i % 9] + [(70, 60), (60, 50), (50, 70), (5, 5), (99, 99)]
+    parent = {x: x for p in pairs for x in p}
+    for a, b in pairs:
+        ra, rb = root_of(parent, a), root_of(parent, b)
+        parent[max(ra, rb)] = min(ra, rb)
+    out = connected(spark.createDataFrame(pairs, "a long, b long"), "a", "b")
+    rows = out.collect()
+    assert sorted((r["node"], r["root"]) for r in rows) == sorted((x, root_of(parent, x)) for x in parent)
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
     before, setting = files(), spark.conf.get(CLEANUP, None)
@@ -374,3 +387,37 @@ def test_written_tables_leave_no_shuffle_files(spark):
         time.sleep(0.25)
     assert not files() - before and out.count() == 7
     assert spark.conf.get(CLEANUP, None) == setting
+
+
+def test_prefix_lists_carry_shared_shingles_only(spark, monkeypatch):
+    rng = random.Random(12)
+    sets = {k: rng.sample(range(60), 8) + rng.sample(range(10**3, 10**6), rng.randint(0, 6)) for k in range(50)}
+    root = {k: k - k % 5 for k in sets}
+    often = defaultdict(set)
+    for k, v in sets.items():
+        for x in v:
+            often[x].add(k)
+    expected = set()
+    for k, v in sets.items():
+        for place, x in enumerate(sorted(v, key=lambda x: (len(often[x]), x)), 1):
+            if place <= len(v) - -(-75 * len(v) // 100) + 1 and len(often[x]) > 1:
+                expected.add((x, k, len(v) - place + 1))
+    met = defaultdict(set)
+    for x, k, _ in expected:
+        met[x].add(root[k])
+    expected = {(x, k, room) for x, k, room in expected if len(met[x]) > 1}
+    written, real = {}, bands.materialize
+
+    def kept(df, label):
+        out = real(df, label)
+        written[label] = (set(out.columns), out.count())
+        return out
+
+    monkeypatch.setattr(bands, "materialize", kept)
+    table = spark.createDataFrame([(k, v, len(v), [0]) for k, v in sets.items()], "node long, body array<long>, n int, mark array<long>")
+    nodes = spark.createDataFrame(list(root.items()), "node long, root long")
+    got = bands._prefix_lists(nodes, table, 75, lambda body: body).collect()
+    assert expected and {(r["token"], r["node"], r["room"]) for r in got} == expected and len(got) == len(expected)
+    assert all(r["root"] == root[r["node"]] and r["n"] == len(sets[r["node"]]) for r in got)
+    assert written["band-tokens"][0] == {"node", "token"}
+    assert written["band-shared"][1] == sum(len(v) for v in often.values() if len(v) > 1)
