@@ -109,3 +109,22 @@ def test_aliases(spark):
     external = R.resolve(scan.imports(all_files), all_files).where("status = 'external'")
     rules = spark.createDataFrame([("@core", "src/core"), ("@", "src")], "prefix string, base string")
     assert [(r["spec"], r["target"]) for r in R.resolve_aliases(external, rules, all_files).collect()] == [("@core/logger", "src/core/logger.ts")]
+
+
+def test_names_of_files_are_the_inverse_of_candidates(spark):
+    paths = ["a.ts", "a.tsx", "x/index.ts", "x/index", "b.js.ts", "c", "q/index.ts/index.ts", ".ts", "/index.js", "z/index.jsx", "z.js"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    ends = (*T.EXTENSIONS, *(f"/index{e}" for e in T.EXTENSIONS))
+    bases = {b for p in paths for b in [p, *(p[: -len(e)] for e in ends if p.endswith(e))]}
+    want = {}
+    for r in spark.createDataFrame([(b,) for b in bases], "base string").select("base", T.candidates(F.col("base")).alias("c")).collect():
+        place = next((i for i, c in enumerate(r["c"]) if c in paths), None)
+        if place is not None:
+            want[r["base"]] = (r["c"][place], place)
+    assert {r["name"]: (r["target"], r["place"]) for r in R.names(files).collect()} == want
+
+
+def test_relative_specifiers_with_dots_anywhere(spark):
+    rows = [("src/m1", "../../m2/p", "m2/p"), ("src/m1", "./a/../b", "src/m1/b"), ("src", "../../../x", "x"), ("", "./x", "x"), ("src/./m", ".//x", "src/m/x"), ("src/m", "./.x/y", "src/m/.x/y"), ("/abs", "./x", "abs/x")]
+    got = spark.createDataFrame(rows, "folder string, spec string, want string").select("want", T.resolve_relative(F.col("folder"), F.col("spec")).alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
