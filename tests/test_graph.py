@@ -137,3 +137,60 @@ def test_failing_analyzer_stops_no_other(code):
     finally:
         del C.ANALYZERS["test.broken"]
     assert errors == {"test.broken": "no"} and found.count() == 2
+
+
+def _ahead(pairs):
+    """node -> all nodes it reaches, by plain search."""
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+    out = {}
+    for start in {x for p in pairs for x in p}:
+        seen, todo = set(), [start]
+        while todo:
+            for y in near.get(todo.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        out[start] = seen
+    return out
+
+
+def test_strong_components_against_search(spark):
+    rng = random.Random(1)
+    pairs = sorted({(rng.randrange(16), rng.randrange(16)) for _ in range(24)})
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    ahead = _ahead(pairs)
+    same = {x: min([x, *(y for y in ahead[x] if x in ahead[y])]) for x in ahead}
+    want = {x: c for x, c in same.items() if any(y != x and same[y] == c for y in same)}
+    assert {r["node"]: r["component"] for r in G.strong_components(e).collect()} == want
+    placed, between = G.condensed(G.vertices(e), e)
+    assert {r["node"]: r["part"] for r in placed.collect()} == same
+    got = {(r["start"], r["node"]) for r in G.reach_parts(placed.select(F.col("part").alias("start")).distinct(), between).collect()}
+    assert got == {(same[x], same[y]) for x in ahead for y in {x, *ahead[x]}}
+
+
+def test_spread_from_several_starts(spark):
+    got = {r["node"]: r["hops"] for r in G.spread(spark.createDataFrame([("a",), ("s",)], "node string"), edges(spark, "a>b b>c c>a c>d s>b s>e e>d")).collect()}
+    assert got == {"a": 0, "s": 0, "b": 1, "e": 1, "c": 2, "d": 2}
+
+
+@pytest.fixture
+def ring(spark):
+    """Six tests in a ring of imports, which import one file; a service imports the ring."""
+    files = {f"src/t{i}.spec.ts": f"import './t{(i + 1) % 6}.spec';\nimport './base';" for i in range(6)}
+    files |= {"src/base.ts": "", "src/a.service.ts": "import './t0.spec';", "src/main.ts": "import './a.service';"}
+    return C.CodeGraph(spark.createDataFrame(list(files.items()), "path string, content string"))
+
+
+def test_reach_is_counted_by_components(ring, monkeypatch):
+    walked, reach = [], G.reach
+    monkeypatch.setattr(G, "reach", lambda starts, *rest: walked.append(starts.count()) or reach(starts, *rest))
+    assert [tuple(r) for r in C.test_reach(ring).collect()] == [("src/base.ts", 6)]
+    assert walked == [1]  # not one walk for each test
+
+
+def test_tested_and_impact_of_a_ring(ring, spark):
+    assert [tuple(r) for r in C.tested(ring).collect()] == [("src/base.ts", 1)]
+    got = {r["start"]: tuple(r)[1:4] for r in C.impact(ring, spark.createDataFrame([("src/a.service.ts",), ("src/t3.spec.ts",), ("src/main.ts",)], "start string")).collect()}
+    assert got == {"src/a.service.ts": (7, 1, 1), "src/t3.spec.ts": (6, 7, 1), "src/main.ts": (8, 0, 1)}
