@@ -1,3 +1,4 @@
+import random
 import os
 
 from pyspark.sql import functions as F
@@ -137,3 +138,18 @@ def test_writers_take_different_versions(spark, tmp_path):
     one, two = store._claim(1), SnapshotStore(spark, str(tmp_path / "s"))._claim(1)
     assert (one, two) == (1, 2)
     assert store.commit(spark.range(3)) == 3 and store.read().count() == 3
+
+
+def test_pairs_meet_in_shared_sets_only(spark):
+    rng = random.Random(3)
+    tags = {f"m{i:02}": sorted(rng.sample("abcdefg", rng.randrange(0, 6))) for i in range(24)}
+    rows = [(k, "active", "xy"[i % 2], [*v, *v[:1], "pattern"]) for i, (k, v) in enumerate(tags.items())]
+    m = spark.createDataFrame(rows, "id string, status string, type string, tags array<string>")
+    kind = {r[0]: r[2] for r in rows}
+    want = {(a, b): len(set(tags[a]) & set(tags[b])) for a in tags for b in tags if a < b and kind[a] == kind[b]}
+    linked = spark.createDataFrame([], "src string, dst string")
+    for least in (1, 2, 3):
+        got = recall.shared_tag_pairs(m, least, linked)
+        assert sorted((r["a"], r["b"], r["shared"]) for r in got.collect()) == sorted((*p, n) for p, n in want.items() if n >= least)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "count(1)" not in plan  # pairs that share too little are never counted
