@@ -128,3 +128,13 @@ def test_relative_specifiers_with_dots_anywhere(spark):
     rows = [("src/m1", "../../m2/p", "m2/p"), ("src/m1", "./a/../b", "src/m1/b"), ("src", "../../../x", "x"), ("", "./x", "x"), ("src/./m", ".//x", "src/m/x"), ("src/m", "./.x/y", "src/m/.x/y"), ("/abs", "./x", "abs/x")]
     got = spark.createDataFrame(rows, "folder string, spec string, want string").select("want", T.resolve_relative(F.col("folder"), F.col("spec")).alias("got")).collect()
     assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
+def test_isomorphic_counts_are_those_of_the_pairs(spark):
+    rows = [(f"f{i % 5}.ts", f"T{i}", ["id", f"w{i % 3}"] if i < 13 else []) for i in range(16)] + [("g.ts", "G", ["lone"])]
+    shapes = spark.createDataFrame(rows, "path string, type_name string, props array<string>")
+    pairs = scan.isomorphic_shapes(shapes).persist()
+    counted = scan.isomorphic_counts(shapes)
+    assert "Join" not in counted._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, pairs.groupBy("props").count().collect()))
+    assert sorted(map(tuple, scan.isomorphic_partners(shapes).collect())) == sorted(map(tuple, pairs.groupBy("file_a").count().collect()))
