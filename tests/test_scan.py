@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gneiss.functions import text as T
 from gneiss.operators import resolve as R
 from gneiss.operators import scan
+from gneiss.plans import codegraph as C
 
 
 def files(spark, **named):
@@ -138,3 +139,10 @@ def test_isomorphic_counts_are_those_of_the_pairs(spark):
     assert "Join" not in counted._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, pairs.groupBy("props").count().collect()))
     assert sorted(map(tuple, scan.isomorphic_partners(shapes).collect())) == sorted(map(tuple, pairs.groupBy("file_a").count().collect()))
+
+
+@pytest.mark.parametrize("name", ["perf.gc", "perf.cache", "perf.deopt"])
+def test_line_rules_read_files_once(spark, name):
+    source = spark.createDataFrame([("f", "const t = setInterval(f, 5);\nclearInterval(t)\nconst myCache = new Map();\nmyCache.set(k, 1);")], "path string, content string")
+    plan = C.ANALYZERS[name](C.CodeGraph(source))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Join" not in plan
