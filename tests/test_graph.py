@@ -194,3 +194,16 @@ def test_tested_and_impact_of_a_ring(ring, spark):
     assert [tuple(r) for r in C.tested(ring).collect()] == [("src/base.ts", 1)]
     got = {r["start"]: tuple(r)[1:4] for r in C.impact(ring, spark.createDataFrame([("src/a.service.ts",), ("src/t3.spec.ts",), ("src/main.ts",)], "start string")).collect()}
     assert got == {"src/a.service.ts": (7, 1, 1), "src/t3.spec.ts": (6, 7, 1), "src/main.ts": (8, 0, 1)}
+
+
+def test_correlations_take_every_analyzer_and_miss_none(spark, monkeypatch):
+    files = {"src/lone.ts": "eval(x);\nexport interface A {\n  id: number;\n}", "src/b.ts": "export interface B {\n  id: number;\n}", "src/c.ts": "import './b';\nexport interface C {\n  id: number;\n}", "src/main.ts": "import './c';"}
+    g = C.CodeGraph(spark.createDataFrame(list(files.items()), "path string, content string").persist())
+    got = {(r["type"], r["severity"], r["file"]): r["n"] for r in C.all_correlations(g).collect()}
+    assert got == {
+        ("orphan_with_issue", "high", "src/lone.ts"): 1, ("boundary_isomorphism", "low", "src/b.ts"): 2, ("boundary_isomorphism", "low", "src/c.ts"): 1,
+        ("risk_without_test_path", "medium", "src/main.ts"): 1, ("risk_without_test_path", "medium", "src/c.ts"): 1,
+    }
+    monkeypatch.setitem(C.ANALYZERS, "topo.risk", lambda g: 1 / 0)
+    with pytest.raises(RuntimeError, match="topo.risk"):
+        C.all_correlations(g)
