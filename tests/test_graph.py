@@ -207,3 +207,14 @@ def test_correlations_take_every_analyzer_and_miss_none(spark, monkeypatch):
     monkeypatch.setitem(C.ANALYZERS, "topo.risk", lambda g: 1 / 0)
     with pytest.raises(RuntimeError, match="topo.risk"):
         C.all_correlations(g)
+
+
+def test_diamonds_shuffle_no_single_paths(spark):
+    rng = random.Random(4)
+    pairs = sorted({(rng.randrange(9), rng.randrange(9)) for _ in range(30)})
+    found = G.diamonds(spark.createDataFrame(pairs, "src long, dst long"))
+    have = set(pairs)
+    want = [(s, x, y, d) for s in range(9) for x in range(9) for y in range(x + 1, 9) for d in range(9) if {(s, x), (x, d), (s, y), (y, d)} <= have]
+    assert sorted(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1  # paths are not joined with paths
